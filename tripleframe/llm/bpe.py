@@ -25,6 +25,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -368,7 +369,7 @@ def blocks(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     n = len(column)
     if not n:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).cumsum()
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).cumsum()
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + most, "right"))
