@@ -4,20 +4,80 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, chat, langid, packing, topk, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
+#: A conversation whose texts look like the template, an escape and a marker.
+EXTRA_ID, EXTRA_TEXT = -7, "\\### Assistant: </turn> ok"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("select cast(id as bigint) as turn, if(id = 0, 'user', 'assistant') as role from range(2)")
+    extra = extra.select(F.lit(EXTRA_ID).cast("long").alias("conv_id"), "turn", "role", F.lit(EXTRA_TEXT).alias("text"))
+    return chat.digests(chat.read_back(chat.format_conversations(rows.unionByName(extra))))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_packing": op3_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), marked as (
+  select *, lag(role) over (partition by conv_id order by turn, role, text) as before from rows
+), sized as (
+  select *, replace(replace(text, '\\', '\\\\'), '<', '\\l') as t, replace(replace(role, '\\', '\\\\'), '<', '\\l') as r from marked
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(t) + case when before is not distinct from role then 8 else length(r) + 23 end) as bigint) as formatted_chars
+from sized group by conv_id
+"""
+
+OP5_SQL = """
+select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes, record_type, refers_to from (
+  select page_id, html, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id = first then null else first end as refers_to
+  from (select page_id, html, min(page_id) over (partition by coalesce(html, '')) as first from pages))
+"""
+
+OP8_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) as score
+  from v q, v c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+), r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+)
+select query_id, cast(rank as int) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_packing": op3_packing, "op5_warc": op5_warc, "op6_langid": op6_langid, "op8_topk": op8_topk}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op8_topk": OP8_SQL}
