@@ -50,3 +50,54 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_groups(batches, n_keys: int):
+    """Arrow batches sorted by their first n_keys columns, regrouped so that no key goes on in the next one."""
+    import pyarrow as pa
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = batch.num_rows
+        last = [batch.column(i)[cut - 1] for i in range(n_keys)]
+        while cut and all(batch.column(i)[cut - 1] == last[i] for i in range(n_keys)):
+            cut -= 1
+        if cut or held and any(held[-1].column(i)[held[-1].num_rows - 1] != batch.column(i)[0] for i in range(n_keys)):
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """node and label (the smallest node that it can reach) of all nodes with an edge (a, b), by alternating
+    large and small stars; minima are aggregated before the shuffle, each round is a table in the shared folder."""
+    spark = edges.sparkSession
+
+    def star(df: DataFrame, large: bool) -> DataFrame:
+        both = df.union(df.select("b", "a")) if large else df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        joined = both.join(least, "a")
+        out = joined.where("b > a").select("b", "m") if large else joined.where("b != m").select("b", "m").union(least.select("a", "m"))
+        return out.toDF("a", "b").where("a != b").distinct()
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now, path = written(edges.toDF("a", "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    was = state(now)
+    for _ in range(rounds):
+        after, new_path = written(star(star(now, True), False), "edges")
+        dropped(spark, path)
+        now, path = after, new_path
+        if (found := state(now)) == was:
+            break
+        was = found
+    label = now.groupBy("a").agg(F.min("b").alias("label")).toDF("node", "label")
+    return label.union(label.select("label", "label").distinct())
