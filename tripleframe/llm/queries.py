@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, langid, packing, topk, warc
+from . import bpe, chat, embed_dedup, html_extract, langid, packing, topk, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_and_index(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
@@ -83,5 +87,5 @@ with v as (
 select query_id, cast(rank as int) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_packing": op3_packing, "op5_warc": op5_warc, "op6_langid": op6_langid, "op8_topk": op8_topk, "op10_embed_dedup": op10_embed_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_packing": op3_packing, "op4_html": op4_html, "op5_warc": op5_warc, "op6_langid": op6_langid, "op8_topk": op8_topk, "op10_embed_dedup": op10_embed_dedup}
 ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op8_topk": OP8_SQL}
