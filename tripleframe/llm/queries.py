@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, html_extract, langid, packing, suffix, topk, warc
+from . import bpe, chat, embed_dedup, html_extract, langid, minhash, packing, suffix, topk, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +42,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("k") == F.col("kept_k")).alias("kept"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -91,5 +96,5 @@ with v as (
 select query_id, cast(rank as int) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_packing": op3_packing, "op4_html": op4_html, "op5_warc": op5_warc, "op6_langid": op6_langid, "op8_topk": op8_topk, "op9_suffix": op9_suffix, "op10_embed_dedup": op10_embed_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_packing": op3_packing, "op4_html": op4_html, "op5_warc": op5_warc, "op6_langid": op6_langid, "op7_minhash": op7_minhash, "op8_topk": op8_topk, "op9_suffix": op9_suffix, "op10_embed_dedup": op10_embed_dedup}
 ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op8_topk": OP8_SQL}
