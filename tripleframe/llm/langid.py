@@ -32,6 +32,8 @@ PROFILE = 400
 LETTERS = 62
 BASE = LETTERS + 2
 FOLDS = 5
+#: Distance to the nearest language above which accepted() lets a document go: its n-grams are hardly in any profile.
+REJECT = 0.9
 SPACE = BASE + BASE**2 + BASE**3
 
 
@@ -115,38 +117,56 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> tupl
     return alphabet, {k: np.array(v) for k, v in out.items()}
 
 
-def predict(docs: DataFrame, alphabet: str, learned: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
-    """doc_id, lang_pred, score (1 - nearest / second distance) and distance (0 to 1, to the nearest)."""
+def scorer(alphabet: str, learned: dict[str, np.ndarray], size: int = PROFILE):
+    """A function that gives (lang_pred, score, distance) of a text."""
     names = sorted(learned)
     table = np.full((len(names), SPACE), size, np.int32)
     for i, name in enumerate(names):
         table[i, learned[name]] = np.arange(len(learned[name]))
-    far = np.arange(size)
+    far, codes = np.arange(size), letter_codes(alphabet)
+
+    def score(text: str | None) -> tuple[str, float, float]:
+        found = grams(text, codes) if text and names else ()
+        if not len(found):
+            return "und", 0.0, 1.0
+        top = most_frequent(found, size)
+        rank = table[:, top]
+        out = np.where(rank == size, size, np.abs(rank - far[: len(top)])).sum(1) / (size * len(top))
+        near = np.sort(out)[:2]
+        return names[int(out.argmin())], float(1 - near[0] / near[1]) if len(near) > 1 and near[1] else float(1 - near[0]), float(near[0])
+
+    return score
+
+
+def predict(docs: DataFrame, alphabet: str, learned: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
+    """doc_id, lang_pred, score (1 - nearest / second distance) and distance (0 to 1, to the nearest)."""
 
     def run(batches):
-        codes = letter_codes(alphabet)
+        score = scorer(alphabet, learned, size)
         for batch in batches:
-            lang, score, distance = [], [], []
-            for lo, hi in blocks(batch.column(1)):
-                for text in batch.column(1).slice(lo, hi - lo).to_pylist():
-                    found = grams(text, codes) if text and names else ()
-                    if not len(found):
-                        lang.append("und")
-                        score.append(0.0)
-                        distance.append(1.0)
-                        continue
-                    top = most_frequent(found, size)
-                    rank = table[:, top]
-                    out = np.where(rank == size, size, np.abs(rank - far[: len(top)])).sum(1) / (size * len(top))
-                    near = np.sort(out)[:2]
-                    lang.append(names[int(out.argmin())])
-                    score.append(float(1 - near[0] / near[1]) if len(near) > 1 and near[1] else float(1 - near[0]))
-                    distance.append(float(near[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(distance, pa.float64())], ["doc_id", "lang_pred", "score", "distance"])
+            out = [score(t) for lo, hi in blocks(batch.column(1)) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.float64()), strict=True))], ["doc_id", "lang_pred", "score", "distance"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, distance double")
 
 
+def accepted(docs: DataFrame, sample: int = SAMPLE, most: float = REJECT) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a letter and is near to some learned language."""
+    alphabet, learned = profiles(only(docs, doc_id="long", text="string", lang="string"), sample)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        score = scorer(alphabet, learned)
+        for batch in batches:
+            for lo, hi in blocks(batch.column(place)):
+                part = batch.slice(lo, hi - lo)
+                kept = [lang != "und" and distance <= most for lang, _, distance in map(score, part.column(place).to_pylist())]
+                yield part.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     docs = only(docs, doc_id="long", text="string", lang="string")
     found = predict(docs, *profiles(docs, sample))

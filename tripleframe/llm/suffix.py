@@ -381,3 +381,26 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return with_spans(docs, length, gram, shard).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+    """The rows of docs with what is left of their texts (a character that was cut apart goes), and n_chars to match."""
+    keys = [F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))), F.xxhash64(F.lit(7), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))]
+    found, _ = written(spans(keyed(docs), length, gram, shard), "spans")
+    per_text = found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("__parts"))
+    rows = docs.withColumn("__k1", keys[0]).withColumn("__k2", keys[1]).join(per_text.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left").select(*docs.columns, "__parts")
+    text, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in blocks(batch.column(text)):
+                part = batch.slice(lo, hi - lo)
+                columns, names = part.columns[:-1], part.schema.names[:-1]
+                if part.column(part.num_columns - 1).null_count < part.num_rows:
+                    new = [t if p is None or t is None else kept_bytes(t, p)[0].decode("utf-8", "ignore") for t, p in zip(part.column(text).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)]
+                    columns[text] = pa.array(new, pa.string())
+                    if chars is not None:
+                        columns[chars] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(run, docs.schema)
