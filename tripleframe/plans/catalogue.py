@@ -1,10 +1,801 @@
-"""Every query of the engine and the SQL that it equals."""
+"""Every query of the engine and the SQL that it equals.
+
+Identifiers leave queries as lower-case hex. Queries without SQL are those of binary codecs, streams and the tuner.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripleframe.functions import cid as C
+from tripleframe.functions import terms
+from tripleframe.functions.cid import Cid
+from tripleframe.operators import audit, ext, kv, maintain, migrate, triples
+from tripleframe.plans.query import Pattern
+from tripleframe.sources import graph, log, tables, wire
+from tripleframe.streaming import apply as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def edges(df: DataFrame) -> DataFrame:
+    """Identifiers as hex."""
+    return df.select([C.hexed(F.col(c)).alias(c) if kind == "binary" else F.col(c) for c, kind in df.dtypes])
+
+
+# SQL fragments ------------------------------------------------------------------------------------------------
+
+
+def sql_p(name: str) -> str:
+    return f"lpad(substr(sha256({name}), 1, 32), 64, '0')"
+
+
+def sql_words(h: str) -> str:
+    return ", ".join(f"cast(cast('0x' || substr({h}, {1 + 16 * i}, 16) as ubigint) as varchar)" for i in range(4))
+
+
+def sql_link(name: str, table: str, s: str, s_key: str, o: str, o_key: str) -> str:
+    return f"select distinct '{name}' as name, 'multivalue_set' as plugin, sha256('E:{s}:' || {s_key}) as s, sha256('E:{o}:' || {o_key}) as o_cid, cast(null as bigint) as o_int from {table} where {s_key} is not null and {o_key} is not null"
+
+
+def sql_number(name: str, source: str, s: str, s_key: str, value: str) -> str:
+    return f"select '{name}', 'counter', sha256('E:{s}:' || {s_key}), null, cast({value} as bigint) from {source}"
+
+
+FACTS = "with facts as (\n" + "\nunion all ".join([
+    sql_link("R:tpch:placedBy", "orders", "order", "o_orderkey", "cust", "o_custkey"),
+    sql_link("R:tpch:hasPart", "lineitem", "order", "l_orderkey", "part", "l_partkey"),
+    sql_link("R:tpch:suppliedBy", "lineitem", "order", "l_orderkey", "supp", "l_suppkey"),
+    sql_link("R:tpch:inNation", "customer", "cust", "c_custkey", "nation", "c_nationkey"),
+    sql_link("R:tpch:inNation", "supplier", "supp", "s_suppkey", "nation", "s_nationkey"),
+    sql_link("R:tpch:inRegion", "nation", "nation", "n_nationkey", "region", "n_regionkey"),
+    sql_number("R:tpch:partSize", "part", "part", "p_partkey", "p_size"),
+    sql_number("R:tpch:lineCount", "(select l_orderkey, max(l_linenumber) as n from lineitem group by 1)", "order", "l_orderkey", "n"),
+    sql_number("R:evt:lastValue", "(select user_id, floor(value * 100) as v from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)", "user", "user_id", "v"),
+    sql_link("R:evt:did", "events", "user", "user_id", "evt", "event_type"),
+    sql_number("R:doc:nChars", "documents", "doc", "doc_id", "n_chars"),
+    sql_link("R:doc:lang", "documents", "doc", "doc_id", "lang", "lang"),
+]) + f"\n), t as (select *, {sql_p('name')} as p from facts)\n"
+EDGE = "p, s, o_cid, o_int"
+COUNTERS = FACTS + ", c as (select distinct name, p from t where plugin = 'counter')\n"
+
+
+def defaults(s: str, where: str = "true") -> str:
+    """Counters without a row of s answer 0."""
+    return f"select c.p, {s} as s, cast(null as varchar) as o_cid, cast(0 as bigint) as o_int from c where {where} and not exists (select 1 from t where t.p = c.p and t.s = {s})"
+
+
+def cid_of(kind: str, key: object) -> Cid:
+    return Cid.of(f"E:{kind}:{key}")
+
+
+def sql_cid(kind: str, key: object) -> str:
+    return f"sha256('E:{kind}:{key}')"
+
+
+PLACED, PART, LINES, LAST, DID, NATION = (Cid.predicate(f"R:{x}") for x in ("tpch:placedBy", "tpch:hasPart", "tpch:lineCount", "evt:lastValue", "evt:did", "tpch:inNation"))
+
+# Scalars --------------------------------------------------------------------------------------------------------
+
+
+@query("select c_custkey, sha256(c_name) as cid from customer")
+def cid_from_string(spark, sf_dir):
+    return edges(read(spark, sf_dir, "customer").select("c_custkey", C.cid(F.col("c_name")).alias("cid")))
+
+
+@query("select c_custkey, " + ", ".join(f"cast(cast('0x' || substr(sha256(c_name), {1 + 16 * i}, 16) as ubigint) as decimal(20,0)) as w{i}" for i in range(4)) + " from customer")
+def cid_components(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", *(C.word_number(C.cid(F.col("c_name")), i).alias(f"w{i}") for i in range(4)))
+
+
+@query(f"select n_nationkey, {sql_p('n_name')} as p from nation")
+def predicate_cid_128(spark, sf_dir):
+    return edges(read(spark, sf_dir, "nation").select("n_nationkey", C.predicate_cid(F.col("n_name")).alias("p")))
+
+
+PRIORITY = Cid.predicate(graph.UNREGISTERED)
+SQL_PRIORITY = f"select o_orderkey, sha256('E:order:' || o_orderkey) as s, {sql_p(repr(graph.UNREGISTERED))} as p, sha256(o_orderpriority) as o from orders"
+
+
+def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").where("o_orderpriority is not null")
+    o = C.canonical_object(F.lit(None).cast("binary"), F.col("o_orderpriority"))
+    return rows.select("o_orderkey", graph.named("order", "o_orderkey").alias("s"), PRIORITY.lit.alias("p"), o.alias("o"))
+
+
+@query(f"select o_orderkey, sha256(concat_ws(':', {sql_words('s')}, {sql_words('p')}, {sql_words('o')})) as key from ({SQL_PRIORITY})")
+def composite_key(spark, sf_dir):
+    return edges(priorities(spark, sf_dir).select("o_orderkey", C.composite_key(F.col("s"), F.col("p"), F.col("o")).alias("key")))
+
+
+@query(f"select o_orderkey, sha256(concat_ws(':', {sql_words('p')}, {sql_words('o')})) as value from ({SQL_PRIORITY})")
+def composite_value(spark, sf_dir):
+    return edges(priorities(spark, sf_dir).select("o_orderkey", C.composite_value(F.col("p"), F.col("o")).alias("value")))
+
+
+@query(f"select o_orderkey, p, o, true as valid from ({SQL_PRIORITY})")
+def composite_decode(spark, sf_dir):
+    rows = priorities(spark, sf_dir)
+    text, value = C.composite_text(F.col("p"), F.col("o")), C.composite_value(F.col("p"), F.col("o"))
+    kinds = rows.select("p", "o").distinct()
+    dictionary = C.first_composite(kinds.select(value.alias("cid"), text.alias("text")))
+    return edges(C.decode_composite(rows.select("o_orderkey", value.alias("value")), dictionary).select("o_orderkey", "p", "o", "valid"))
+
+
+@query("""select c_custkey, case c_custkey % 4 when 0 then sha256(c_name) when 1 then lpad(lower(printf('%x', c_custkey)) || lpad(lower(printf('%x', c_custkey + 5)), 16, '0'), 64, '0')
+  when 2 then sha256(c_name) else null end as cid from customer""")
+def wire_parse_cid(spark, sf_dir):
+    own = C.cid(F.col("c_name"))
+    four = F.concat(F.lit("E("), F.concat_ws(", ", *C.words(own)), F.lit(")"))
+    two = F.format_string("E(%d,%d)", F.col("c_custkey"), F.col("c_custkey") + 5)
+    kind = F.col("c_custkey") % 4
+    text = F.when(kind == 0, four).when(kind == 1, two).when(kind == 2, C.hexed(own)).otherwise(F.lit("E(1,2,3)"))
+    return edges(read(spark, sf_dir, "customer").select("c_custkey", C.parse_wire(text).alias("cid")))
+
+
+TERMS = """case p_partkey % 14 when 0 then '' when 1 then 'nocolons' when 2 then 'R:only' when 3 then 'R:a:b:c' when 4 then 'X:ns:label' when 5 then 'R::label' when 6 then 'E:ns:'
+ when 7 then 'R:n s:label' when 8 then 'EV:ns:la.bel' when 9 then 'L:time:2025-10-05T17:00:00Z' when 10 then 'C:ctx:' || p_partkey when 11 then 'R:dates:occursAt' when 12 then 'R:geo:locatedAt' else 'R:stock:itemCount' end"""
+
+
+def term_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", F.expr(TERMS).alias("term"))
+
+
+@query(f"select p_partkey, term, regexp_matches(term, '{terms.LENIENT}') as ok from (select p_partkey, {TERMS} as term from part)")
+def term_valid(spark, sf_dir):
+    return term_rows(spark, sf_dir).select("p_partkey", "term", terms.valid(F.col("term")).alias("ok"))
+
+
+CHARS = "contains invalid characters (allowed: alphanumeric, underscore, hyphen)"
+@query(f"""with w as (select p_partkey, {TERMS} as term from part), x as (select *, string_split(term, ':') as q from w)
+select p_partkey, case when term = '' then 'Empty term' when len(q) < 2 then 'Missing colon separators (expected kind:namespace:label)'
+ when len(q) < 3 then 'Insufficient components: got ' || len(q) || ', expected 3 (kind:namespace:label)' when len(q) > 3 then 'Too many components: got ' || len(q) || ', expected 3 (kind:namespace:label)'
+ when q[1] not in ('C', 'E', 'EV', 'L', 'R') then 'Invalid kind ''' || q[1] || '''. Must be one of: C, E, EV, L, R' when q[2] = '' then 'Empty namespace' when q[3] = '' then 'Empty label'
+ when not regexp_full_match(q[2], '{terms.PART}') then 'Namespace ''' || q[2] || ''' {CHARS}' when not regexp_full_match(q[3], '{terms.PART}') then 'Label ''' || q[3] || ''' {CHARS}' end as reason from x""")
+def term_strict_reason(spark, sf_dir):
+    return term_rows(spark, sf_dir).select("p_partkey", terms.reason(F.col("term")).alias("reason"))
+
+
+@query(f"""select p_partkey, case when contains(term, 'occursAt') or contains(lower(term), 'time') then 'timeseries' when contains(term, 'locatedAt') or contains(term, 'partOf') or contains(term, 'geo:') then 'geospatial'
+ when contains(term, 'Quantity') or contains(term, 'count') or contains(term, 'Amount') then 'counter' else 'multivalue_set' end as plugin from (select p_partkey, {TERMS} as term from part)""")
+def ext_suggest_plugin(spark, sf_dir):
+    return term_rows(spark, sf_dir).select("p_partkey", terms.suggested_plugin(F.col("term")).alias("plugin"))
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then sha256(p_name) else sha256(cast(p_size as varchar)) end as o from part")
+def object_canonical(spark, sf_dir):
+    given = F.when(F.col("p_partkey") % 2 == 0, C.cid(F.col("p_name")))
+    return edges(read(spark, sf_dir, "part").select("p_partkey", C.canonical_object(given, F.col("p_size").cast("string")).alias("o")))
+
+
+DEPTH = 6
+@query(f"select c_custkey, cast(cast('0x' || substr(sha256(c_name), 1, 16) as ubigint) >> {64 - DEPTH} as bigint) as bucket_id, printf('bucket_%04d', cast(cast('0x' || substr(sha256(c_name), 1, 16) as ubigint) >> {64 - DEPTH} as bigint)) as bucket from customer")
+def bucket_route(spark, sf_dir):
+    own = C.bucket(C.cid(F.col("c_name")), DEPTH)
+    return read(spark, sf_dir, "customer").select("c_custkey", own.alias("bucket_id"), C.bucket_name(own).alias("bucket"))
+
+
+@query()
+def rotated_composite(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select("c_custkey", C.cid(F.col("c_name")).alias("a"), graph.named("nation", "c_nationkey").alias("b"))
+    return edges(rows.select("c_custkey", *(C.rotated_key(r)("a", "b").alias(n) for r, n in enumerate(("spo", "osp", "pos")))))
+
+
+@query("select c_custkey, sha256(c_name) as cid, true as is_text from customer")
+def text_codec(spark, sf_dir):
+    alphabet = "0123456789abcdefghijklmnopqrstuvwxyz"
+    rows = read(spark, sf_dir, "customer").select("c_custkey", C.encode_text(alphabet)(C.cid(F.col("c_name"))).alias("text"))
+    return edges(rows.select("c_custkey", C.decode_text(alphabet)("text").alias("cid"), F.col("text").rlike(f"^[{alphabet}]+$").alias("is_text")))
+
+
+# The multimap ---------------------------------------------------------------------------------------------------
+
+OPS = "case when event_id % 31 = 0 then 'DELETE' when event_id % 7 = 0 then 'DELETE' else 'INSERT' end"
+SQL_LOG = f"""with log as (select {OPS} as op, epoch_us(ts) * 1000 as nanos, event_id as seq, event_id % 50 as txn, sha256('E:user:' || user_id) as key,
+  case when event_id % 31 = 0 then null else sha256('E:evt:' || event_type) end as value from events)
+"""
+SQL_FOLD = SQL_LOG + """, pairs as (select key, value, max((nanos, seq)) filter (op = 'DELETE') as gone from log where value is not null group by 1, 2),
+keys as (select key, max((nanos, seq)) as cleared from log where value is null group by 1),
+alive as (select l.key, l.value, min((l.nanos, l.seq)) as ht from log l join pairs p on p.key = l.key and p.value = l.value left join keys k on k.key = l.key
+  where op = 'INSERT' and (gone is null or (l.nanos, l.seq) > gone) and (cleared is null or (l.nanos, l.seq) > cleared) group by 1, 2),
+kv as (select key, value, ht[1] as nanos, ht[2] as seq from alive)
+"""
+
+
+def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a log of the multimap; every 31st deletes its key, every 7th its pair."""
+    ht = F.struct((F.unix_micros("ts") * 1000).alias("nanos"), F.col("event_id").alias("seq"), F.lit(0).alias("shard"))
+    value = F.when(F.col("event_id") % 31 != 0, graph.named("evt", "event_type"))
+    rows = read(spark, sf_dir, "events").withColumn("ts", F.to_timestamp("ts"))
+    return rows.select(F.expr(OPS).alias("op"), F.lit("NOW").alias("version"), ht.alias("ht"), (F.col("event_id") % 50).alias("txn"), graph.named("user", "user_id").alias("key"), value.alias("value"))
+
+
+def flat(df: DataFrame) -> DataFrame:
+    return edges(df.withColumns({"nanos": F.col("ht.nanos"), "seq": F.col("ht.seq")}).drop("ht"))
+
+
+@query(SQL_FOLD + "select key, value, nanos, seq from kv")
+def log_replay_state(spark, sf_dir):
+    return flat(kv.fold(mutations(spark, sf_dir)))
+
+
+@query(SQL_FOLD + "select key, value, nanos, seq, row_number() over (partition by key order by nanos, seq, value) as slot from kv where key in (sha256('E:user:7'), sha256('E:user:11'))")
+def kv_get(spark, sf_dir):
+    rows = mutations(spark, sf_dir).where(F.col("key").isin(bytearray(cid_of("user", 7).raw), bytearray(cid_of("user", 11).raw)))
+    found = kv.fold(rows)
+    return flat(kv.lookup(found, found.select("key")))
+
+
+@query(SQL_FOLD + "select key, count(*) as n_values, case when count(*) <= 2 then 'inline' else 'spill' end as mode from kv group by 1")
+def kv_multivalue_mode(spark, sf_dir):
+    return edges(kv.modes(kv.fold(mutations(spark, sf_dir))))
+
+
+PARTS = "select sha256('E:order:' || l_orderkey) as key, sha256('E:part:' || l_partkey) as value, min(l_linenumber) as line from lineitem group by 1, 2"
+
+
+def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("ht"))
+    return rows.select(graph.named("order", "l_orderkey").alias("key"), graph.named("part", "l_partkey").alias("value"), "ht")
+
+
+@query(f"select key, value, row_number() over (partition by key order by line, value) as slot from ({PARTS})")
+def kv_slot_position(spark, sf_dir):
+    return edges(triples.slots(order_parts(spark, sf_dir)).select("key", "value", "slot"))
+
+
+@query(f"select key, value, line from ({PARTS})")
+def kv_insert_dedup(spark, sf_dir):
+    return edges(order_parts(spark, sf_dir).withColumnRenamed("ht", "line"))
+
+
+@query(SQL_LOG + ", k as (select key, max((nanos, seq)) as cleared from log where value is null group by 1) select distinct log.key from log join k on k.key = log.key group by log.key, cleared having max((nanos, seq)) filter (op = 'INSERT') is null or max((nanos, seq)) filter (op = 'INSERT') < cleared")
+def kv_delete_key(spark, sf_dir):
+    rows = mutations(spark, sf_dir)
+    cleared = rows.where("value is null").groupBy("key").agg(F.max("ht").alias("cleared"))
+    last = rows.where("op = 'INSERT'").groupBy("key").agg(F.max("ht").alias("last"))
+    return edges(cleared.join(last, "key", "left").where("last is null or last < cleared").select("key"))
+
+
+@query(SQL_LOG + "select distinct key, value from log where value is not null and op = 'INSERT' except select key, value from (" + SQL_FOLD + " select key, value from kv)")
+def kv_delete_value(spark, sf_dir):
+    rows = mutations(spark, sf_dir)
+    ever = rows.where("op = 'INSERT' and value is not null").select("key", "value").distinct()
+    return edges(ever.join(kv.fold(rows), ["key", "value"], "left_anti"))
+
+
+@query(SQL_LOG + "select key, count(*) filter (op = 'DELETE') as tombstones from log group by 1")
+def kv_tombstones(spark, sf_dir):
+    return edges(kv.tombstones(mutations(spark, sf_dir)))
+
+
+@query("select o_orderkey, o_orderpriority = '1-URGENT' as found from orders where o_orderkey % 10 = 0")
+def kv_composite_probe(spark, sf_dir):
+    """Whether an order's priority is 1-URGENT, by probing the multimap with the composite key and value."""
+    rows = priorities(spark, sf_dir)
+    store = rows.select(C.composite_key(F.col("s"), F.col("p"), F.col("o")).alias("key"), C.composite_value(F.col("p"), F.col("o")).alias("value"))
+    urgent = Cid.of("1-URGENT").lit
+    asked = rows.where("o_orderkey % 10 = 0").select("o_orderkey", C.composite_key(F.col("s"), F.col("p"), urgent).alias("key"), C.composite_value(F.col("p"), urgent).alias("value"))
+    return asked.join(store.withColumn("there", F.lit(True)), ["key", "value"], "left").select("o_orderkey", F.coalesce("there", F.lit(False)).alias("found"))
+
+
+# Patterns -------------------------------------------------------------------------------------------------------
+
+
+def pattern(name: str, sql: str, p: Pattern):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return edges(graph.store(spark, sf_dir).query(p))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+ORDER, CUST, USER = 7, 7, 7
+pattern("q_spo_exact", FACTS + f"select {EDGE} from t where name = 'R:tpch:inRegion' and s = {sql_cid('nation', 3)} and o_cid = {sql_cid('region', 3)}", Pattern(cid_of("nation", 3), Cid.predicate("R:tpch:inRegion"), cid_of("region", 3)))
+pattern("q_spo_zero", COUNTERS + defaults("sha256('E:nobody:1')", "c.name = 'R:evt:lastValue'"), Pattern(Cid.of("E:nobody:1"), LAST, 0))
+pattern("q_sp", FACTS + f"select {EDGE} from t where name = 'R:tpch:hasPart' and s = {sql_cid('order', ORDER)}", Pattern(cid_of("order", ORDER), PART))
+pattern("q_sp_default", COUNTERS + defaults("sha256('E:nobody:1')", "c.name = 'R:evt:lastValue'"), Pattern(Cid.of("E:nobody:1"), LAST))
+pattern("q_so", FACTS + f"select {EDGE} from t where s = {sql_cid('user', USER)} and o_cid = {sql_cid('evt', 'error')}", Pattern(cid_of("user", USER), None, cid_of("evt", "error")))
+pattern("q_so_zero", COUNTERS + f"select {EDGE} from t where s = {sql_cid('order', ORDER)} and o_int = 0 union all " + defaults(sql_cid("order", ORDER)), Pattern(cid_of("order", ORDER), None, 0))
+pattern("q_po", FACTS + f"select {EDGE} from t where name = 'R:tpch:placedBy' and o_cid = {sql_cid('cust', CUST)}", Pattern(None, PLACED, cid_of("cust", CUST)))
+pattern("q_po_counter", FACTS + f"select {EDGE} from t where name = 'R:tpch:lineCount' and o_int = 3", Pattern(None, LINES, 3))
+pattern("q_s", COUNTERS + f"select {EDGE} from t where s = {sql_cid('order', ORDER)} union all " + defaults(sql_cid("order", ORDER)), Pattern(cid_of("order", ORDER)))
+pattern("q_o_fanout", FACTS + f"select {EDGE} from t where o_cid = {sql_cid('nation', 3)}", Pattern(None, None, cid_of("nation", 3)))
+pattern("q_p_empty", FACTS + f"select {EDGE} from t where false", Pattern(None, PLACED))
+pattern("q_full_scan_empty", FACTS + f"select {EDGE} from t where false", Pattern())
+
+
+@query(FACTS + f"select {EDGE} from t where o_cid = {sql_cid('nation', 3)} and s in (select sha256('E:cust:' || c_custkey) from customer where c_mktsegment = 'BUILDING')")
+def q_o_subject_filter(spark, sf_dir):
+    subjects = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(graph.named("cust", "c_custkey").alias("s"))
+    return edges(graph.store(spark, sf_dir).by_object(cid_of("nation", 3), subjects))
+
+
+def access(name: str, sql: str, p: Pattern):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return edges(graph.store(spark, sf_dir).query_triple(p))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+access("qt_spo_default_zero", "select cast(null as varchar) as o_cid, cast(0 as bigint) as o_int", Pattern(Cid.of("E:nobody:1"), LAST))
+access("qt_osp", FACTS + f"select s, p from t where o_cid = {sql_cid('nation', 3)}", Pattern(None, None, cid_of("nation", 3)))
+access("qt_pos", FACTS + f"select s from t where name = 'R:evt:did' and o_cid = {sql_cid('evt', 'error')}", Pattern(None, DID, cid_of("evt", "error")))
+
+
+@query(FACTS + f"select s, p from t where o_cid = {sql_cid('region', 1)}")
+def qt_osp_all(spark, sf_dir):
+    return edges(graph.store(spark, sf_dir).by_object_all(cid_of("region", 1)))
+
+
+@query(FACTS + f"select s from t where name = 'R:tpch:inNation' and o_cid = {sql_cid('nation', 3)}")
+def q_pos(spark, sf_dir):
+    return edges(graph.store(spark, sf_dir).by_value(NATION, cid_of("nation", 3)))
+
+
+@query(FACTS + f"select o_cid, o_int from t where name = 'R:evt:lastValue' and s in ({sql_cid('user', USER)}, sha256('E:nobody:1'))")
+def get_triple(spark, sf_dir):
+    store = graph.store(spark, sf_dir)
+    return edges(store.get_triple(cid_of("user", USER), LAST).unionByName(store.get_triple(Cid.of("E:nobody:1"), LAST)))
+
+
+# Writing --------------------------------------------------------------------------------------------------------
+
+BATCH_KIND = "case when l_linenumber = 1 then 'R:tpch:lineCount' when l_linenumber = 2 then 'R:tpch:hasPart' else 'R:tpch:priority' end"
+
+
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as a mixed batch: counters, set members, unregistered triples, and some rows that are broken."""
+    rows = read(spark, sf_dir, "lineitem").withColumn("term", F.expr(BATCH_KIND))
+    good = F.col("l_orderkey") % 10 != 0
+    n = F.col("l_linenumber")
+    return rows.select(
+        (F.col("l_orderkey") * 10 + n).alias("ord"), F.when(good, graph.named("order", "l_orderkey")).alias("s"), C.predicate_cid(F.col("term")).alias("p"), F.when(n == 2, graph.named("part", "l_partkey")).alias("o_cid"),
+        F.when(n > 2, F.col("l_returnflag")).alias("o_text"), F.when(n == 1, F.col("l_partkey")).alias("o_int"),
+    )
+
+
+@query("""select count(*) filter (l_orderkey % 10 <> 0) as inserted, count(*) filter (l_orderkey % 10 = 0) as failed, count(*) filter (l_orderkey % 10 <> 0 and l_linenumber <= 2) as specialized,
+ count(*) filter (l_orderkey % 10 <> 0 and l_linenumber > 2) as composite from lineitem""")
+def batch_stats(spark, sf_dir):
+    return triples.batch_stats(batch(spark, sf_dir), graph.registry().frame(spark))
+
+
+@query(f"""select plugin, count(*) as n from (select case {BATCH_KIND} when 'R:tpch:lineCount' then 'counter' when 'R:tpch:hasPart' then 'multivalue_set' end as plugin from lineitem) group by 1""")
+def route_split(spark, sf_dir):
+    return triples.routed(batch(spark, sf_dir), graph.registry().frame(spark)).groupBy("plugin").agg(F.count("*").alias("n"))
+
+
+@query(f"""select sha256(concat_ws(':', {sql_words('s')}, {sql_words('p')}, {sql_words('o')})) as key, sha256(concat_ws(':', {sql_words('p')}, {sql_words('o')})) as value
+from (select sha256('E:order:' || l_orderkey) as s, {sql_p("'R:tpch:priority'")} as p, sha256(l_returnflag) as o from lineitem where l_linenumber > 2 and l_orderkey % 10 <> 0)""")
+def route_composite(spark, sf_dir):
+    rows = triples.routed(triples.validated(batch(spark, sf_dir)), graph.registry().frame(spark)).where("valid and plugin is null")
+    return edges(triples.composites(rows).select("key", "value"))
+
+
+COUNTER_LOG = "select event_id, sha256('E:user:' || user_id) as s, case when event_id % 5 = 0 then 'DELETE' else 'INSERT' end as op, cast(floor(value) as bigint) % 3 as o_int from events"
+
+
+def counter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    op = F.when(F.col("event_id") % 5 == 0, "DELETE").otherwise("INSERT")
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), graph.named("user", "user_id").alias("s"), op.alias("op"), F.lit(None).cast("binary").alias("o_cid"), (F.floor("value") % 3).alias("o_int"))
+
+
+@query(FACTS + "select s, o_int from t where name = 'R:evt:lastValue'")
+def counter_lww(spark, sf_dir):
+    return edges(graph.store(spark, sf_dir).enumerate(LAST).select("s", "o_int"))
+
+
+@query(FACTS + "select o_int, count(*) as subjects from t where name = 'R:tpch:lineCount' group by 1")
+def counter_reverse(spark, sf_dir):
+    return graph.store(spark, sf_dir).enumerate(LINES).groupBy("o_int").agg(F.count("*").alias("subjects"))
+
+
+@query(f"""with log as ({COUNTER_LOG}), last as (select s, max(event_id) as since, arg_max(o_int, event_id) as o_int from log where op = 'INSERT' and o_int is not null group by 1)
+select s, o_int from last where not exists (select 1 from log where log.s = last.s and op = 'DELETE' and event_id > since and log.o_int = last.o_int)""")
+def counter_delete(spark, sf_dir):
+    return edges(graph.registry().get(LAST).plugin.fold(counter_log(spark, sf_dir)).select("s", "o_int"))
+
+
+@query(FACTS + "select s, o_cid from t where name = 'R:evt:did'")
+def set_dedup(spark, sf_dir):
+    return edges(graph.store(spark, sf_dir).enumerate(DID).select("s", "o_cid"))
+
+
+@query("""select s, o_cid from (select sha256('E:user:' || user_id) as s, sha256('E:evt:' || event_type) as o_cid, arg_max(event_id % 5 <> 0, event_id) as there from events group by 1, 2) where there""")
+def set_delete(spark, sf_dir):
+    op = F.when(F.col("event_id") % 5 == 0, "DELETE").otherwise("INSERT")
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), graph.named("user", "user_id").alias("s"), op.alias("op"), graph.named("evt", "event_type").alias("o_cid"))
+    return edges(graph.registry().get(DID).plugin.fold(rows).select("s", "o_cid"))
+
+
+@query(FACTS + "select o_cid, count(*) as subjects from t where name = 'R:evt:did' group by 1")
+def set_reverse(spark, sf_dir):
+    return edges(graph.store(spark, sf_dir).enumerate(DID).groupBy("o_cid").agg(F.count("*").alias("subjects")))
+
+
+@query("""select o_orderkey, o_orderkey % 2 = 0 or exists (select 1 from lineitem where l_orderkey = o_orderkey and l_partkey = o_custkey) as existed from orders""")
+def delete_existed(spark, sf_dir):
+    """Deletes of unregistered triples always succeed; those of set members only where there was one."""
+    rows = read(spark, sf_dir, "orders").withColumn("plain", F.col("o_orderkey") % 2 == 0)
+    deletes = rows.select("o_orderkey", F.when(F.col("plain"), PRIORITY.lit).otherwise(PART.lit).alias("p"), graph.named("order", "o_orderkey").alias("s"), graph.named("part", "o_custkey").alias("o_cid"), F.lit(None).cast("long").alias("o_int"))
+    return triples.existed(deletes, graph.store(spark, sf_dir).enumerate(PART), graph.registry().frame(spark)).select("o_orderkey", "existed")
+
+
+@query(SQL_LOG + "select txn, count(*) as operations, count(*) filter (op = 'DELETE') as deletes from log group by 1")
+def txn_stats(spark, sf_dir):
+    return mutations(spark, sf_dir).groupBy("txn").agg(F.count("*").alias("operations"), F.count_if(F.col("op") == "DELETE").alias("deletes"))
+
+
+@query(SQL_LOG + "select txn, key, value, nanos, seq, op from log where txn % 10 <> 3")
+def log_txn_groups(spark, sf_dir):
+    """Mutations outside of aborted transactions (here those whose number ends in 3)."""
+    rows = mutations(spark, sf_dir)
+    aborts = rows.where("txn % 10 = 3").groupBy("txn").agg(F.max("ht").alias("ht")).select(F.lit("TXN_ABORT").alias("op"), F.lit("NOW").alias("version"), "ht", "txn", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("binary").alias("value"))
+    return flat(log.committed(rows.unionByName(aborts)).select("txn", "key", "value", "ht", "op"))
+
+
+@query(SQL_LOG + "select op, 'NOW' as version, nanos, seq, key, value from log")
+def log_record_roundtrip(spark, sf_dir):
+    return flat(log.decode(log.encode(mutations(spark, sf_dir))))
+
+
+@query("select cast(c_custkey as bigint) as ord, 'INSERT' as op, sha256(c_name) as key, sha256('E:nation:' || c_nationkey) as value from customer")
+def wire_commands(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer")
+    key, value = (F.concat(F.lit("E("), F.concat_ws(",", *C.words(c)), F.lit(")")) for c in (C.cid(F.col("c_name")), graph.named("nation", "c_nationkey")))
+    lines = rows.select(F.col("c_custkey").alias("ord"), F.to_json(F.struct(F.lit("insert").alias("command"), key.alias("key"), value.alias("value"))).alias("value"))
+    return edges(wire.mutations(wire.commands(lines)).select("ord", "op", "key", "value"))
+
+
+# Audits and re-typing -------------------------------------------------------------------------------------------
+
+
+@query(FACTS + "select name, count(*) as counter_count, count(distinct o_int) as unique_values, round(avg(o_int), 6) as avg_value, cast(sum(o_int) as bigint) as sum_value, max(o_int) as max_value from t where plugin = 'counter' group by 1")
+def audit_counter(spark, sf_dir):
+    found = audit.counters(graph.store(spark, sf_dir).everything())
+    return found.join(F.broadcast(graph.registry().frame(spark).select("p", "name")), "p").select("name", "counter_count", "unique_values", F.round("avg_value", 6).alias("avg_value"), "sum_value", "max_value")
+
+
+@query(FACTS + "select name, count(distinct s) as set_count, count(*) as total_values, round(count(*) / count(distinct s), 6) as avg_set_size, count(distinct o_cid) as unique_objects from t where plugin = 'multivalue_set' group by 1")
+def audit_set(spark, sf_dir):
+    found = audit.sets(graph.store(spark, sf_dir).everything())
+    return found.join(F.broadcast(graph.registry().frame(spark).select("p", "name")), "p").select("name", "set_count", "total_values", F.round("avg_set_size", 6).alias("avg_set_size"), "unique_objects")
+
+
+@query(FACTS + "select plugin, count(*) as predicates, cast(sum(n) as bigint) as data_points from (select name, plugin, count(distinct s) as n from t group by 1, 2) group by 1")
+def audit_all(spark, sf_dir):
+    return audit.everything(graph.store(spark, sf_dir).everything(), graph.registry().frame(spark))
+
+
+@query(FACTS + "select distinct name from t where name not in ('R:tpch:placedBy', 'R:evt:did')")
+def audit_ontology(spark, sf_dir):
+    return audit.unjustified(graph.registry("R:tpch:placedBy", "R:evt:did").frame(spark))
+
+
+def indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph.store(spark, sf_dir)._of([NATION, LINES])
+    return rows.select("p", "s", F.coalesce(C.hexed(F.col("o_cid")), F.col("o_int").cast("string")).alias("o"), F.col("o_int").isNotNull().alias("counter"))
+
+
+@query("select 'x' as p, 'x' as type, cast(0 as bigint) as errors where false")
+def audit_indices_clean(spark, sf_dir):
+    rows = indices(spark, sf_dir)
+    return edges(audit.consistency(rows, rows, rows))
+
+
+SQL_INDEX = FACTS + """, a as (select name, p, s, coalesce(o_cid, cast(o_int as varchar)) as o, plugin = 'counter' as counter from t where name in ('R:tpch:inNation', 'R:tpch:lineCount')),
+spo as (select * from a where substr(s, 1, 1) <> '0'), osp as (select * from a where substr(s, 1, 1) <> '1'), pos as (select * from a where substr(s, 1, 1) not in ('2', '1') and o <> '3')
+, e as (
+ select p, 'SPO_OSP_mismatch' as type from spo where substr(s, 1, 1) = '1'
+ union all select p, 'OSP_SPO_missing' from osp where substr(s, 1, 1) = '0' and (p, s) not in (select (p, s) from spo)
+ union all select p, 'OSP_SPO_mismatch' from osp where substr(s, 1, 1) = '0' and (p, s) in (select (p, s) from spo)
+ union all select distinct_.p, 'POS_OSP_missing' from (select distinct p, o from (select p, o, s from osp except select p, o, s from pos) where (p, o) in (select (p, o) from pos)) distinct_
+ union all select p, 'POS_missing_object' from (select distinct p, o from osp) x where (p, o) not in (select (p, o) from pos))
+"""
+
+
+@query(SQL_INDEX + "select p, type, count(*) as errors from e group by 1, 2")
+def audit_indices_corrupt(spark, sf_dir):
+    """Indices with rows left out of each: by the subject's first digit, and one object of POS."""
+    rows = indices(spark, sf_dir)
+    first = F.substring(C.hexed(F.col("s")), 1, 1)
+    return edges(audit.consistency(rows.where(first != "0"), rows.where(first != "1"), rows.where(~first.isin("1", "2") & (F.col("o") != "3"))))
+
+
+def reload(name: str, p: Cid, new: str, sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = graph.store(spark, sf_dir)
+        return edges(migrate.hot_reload(store.registry, store.sources, p, new)[p]().select("s", "o_cid", "o_int"))
+
+    run.__name__ = name
+    query(FACTS + sql)(run)
+
+
+reload("reload_c2c", LAST, "counter", "select s, o_cid, o_int from t where name = 'R:evt:lastValue'")
+reload("reload_m2m", DID, "multivalue", "select s, o_cid, o_int from t where name = 'R:evt:did'")
+reload("reload_c2m", LAST, "multivalue", "select s, sha256('E:migration:count_' || o_int) as o_cid, cast(null as bigint) as o_int from t where name = 'R:evt:lastValue'")
+reload("reload_m2c", DID, "counter", "select s, cast(null as varchar) as o_cid, count(*) as o_int from t where name = 'R:evt:did' group by 1")
+
+# Maintenance ----------------------------------------------------------------------------------------------------
+
+SQL_KV = f"with kv as ({PARTS}), b as (select cast(cast('0x' || substr(key, 1, 16) as ubigint) >> {64 - DEPTH} as bigint) as bucket_id, count(*) as entry_count, count(distinct key) as n_keys from kv group by 1)\n"
+
+
+def part_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintain.bucket_stats(order_parts(spark, sf_dir), C.bucket(F.col("key"), DEPTH))
+
+
+@query(SQL_KV + "select * from b")
+def bucket_stats(spark, sf_dir):
+    return part_buckets(spark, sf_dir)
+
+
+@query(SQL_KV + f"select bucket_id, entry_count, bucket_id * 2 as left_id, bucket_id * 2 + 1 as right_id, {DEPTH + 1} as new_depth from b where entry_count >= 128")
+def split_plan(spark, sf_dir):
+    return maintain.split_plan(part_buckets(spark, sf_dir), DEPTH)
+
+
+@query(SQL_KV + f"select key, value, cast((cast('0x' || substr(key, 1, 16) as ubigint) >> {64 - DEPTH - 1}) & 1 as bigint) as side from kv")
+def split_redistribute(spark, sf_dir):
+    high = F.conv(F.substring(F.hex("key"), 1, 16), 16, -10).cast("long")
+    return edges(maintain.redistributed(order_parts(spark, sf_dir), high, DEPTH + 1).select("key", "value", "side"))
+
+
+WIDE = 12
+@query(f"""with b as (select cast(cast('0x' || substr(sha256(c_name), 1, 16) as ubigint) >> {64 - WIDE} as bigint) as bucket_id, count(*) as n from customer group by 1)
+select x.bucket_id >> 1 as merged_id, x.bucket_id, y.bucket_id as buddy_id, x.n + y.n as entry_count from b x join b y on y.bucket_id = x.bucket_id + 1 and x.bucket_id % 2 = 0 where x.n <= 8 and y.n <= 8""")
+def merge_plan(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select(C.cid(F.col("c_name")).alias("key"))
+    return maintain.merge_plan(maintain.bucket_stats(rows, C.bucket(F.col("key"), WIDE)), WIDE)
+
+
+@query("select o_orderkey, case when o_orderkey > 50000 then 'sharded' when o_orderkey > 1000 then 'dataset' else 'attribute' end as mode from orders")
+def directory_mode(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", maintain.directory_mode(F.col("o_orderkey")).alias("mode"))
+
+
+@query("select 2 * n_nationkey + bit as index, cast(n_regionkey as bigint) as bucket_id from nation, (select unnest([0, 1]) as bit)")
+def directory_doubling(spark, sf_dir):
+    return maintain.doubled(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("index"), F.col("n_regionkey").cast("long").alias("bucket_id")))
+
+
+SQL_HISTORY = """with h as (select event_id as seq, user_id % 16 as bucket_id, case when event_type = 'error' then 'DELETE' else 'INSERT' end as op, epoch_us(ts) / 1000000.0 as ts from events order by seq desc limit 1000),
+now as (select max(epoch_us(ts)) / 1000000.0 as now from events),
+latest as (select *, abs(bucket_id - lag(bucket_id) over (order by seq)) <= 1 as near from (select * from h order by seq desc limit 50)),
+share as (select count(*) filter (near) / count(*) as share, count(*) as n, count(distinct bucket_id) as buckets from latest),
+hits as (select bucket_id, count(*) as hits from (select * from h order by seq desc limit 100) group by 1),
+stamps as (select bucket_id, count(*) as stamps, count(*) filter (now - ts < 60) as recent from (select *, row_number() over (partition by bucket_id order by seq desc) as r from h where op = 'INSERT'), now where r <= 100 group by 1),
+base as (select bucket_id, count(*) as operations, max(ts) as last from h group by 1),
+s as (select base.bucket_id, operations, least(operations / 100, 5.0) as frequency, case when coalesce(stamps, 0) < 10 then 0.0 else recent / 60 * 10 end as insert_rate,
+  case when now - last >= 300 then 0.0 else (300 - (now - last)) / 300 * 2 end as recency, case when coalesce(hits, 0) < 5 then 0.0 else share * 3 end as sequential
+  from base left join stamps using (bucket_id) left join hits using (bucket_id), share, now),
+d as (select *, least(frequency + insert_rate + recency + sequential, 20.0) as danger from s)
+"""
+
+
+def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
+    """The events as operations on 16 buckets, and the time of the last one."""
+    rows = read(spark, sf_dir, "events").withColumn("ts", F.to_timestamp("ts"))
+    op = F.when(F.col("event_type") == "error", "DELETE").otherwise("INSERT")
+    now = rows.agg((F.max(F.unix_micros("ts")) / 1000000.0).alias("now")).first()["now"]
+    return rows.select(F.col("event_id").alias("seq"), (F.col("user_id") % 16).alias("bucket_id"), op.alias("op"), (F.unix_micros("ts") / 1000000.0).alias("ts")), now
+
+
+SCORES = ("frequency", "insert_rate", "recency", "sequential", "danger")
+
+
+@query(SQL_HISTORY + "select bucket_id, operations, " + ", ".join(f"round({c}, 4) as {c}" for c in SCORES) + " from d")
+def danger_score(spark, sf_dir):
+    return maintain.danger(*history(spark, sf_dir)).select("bucket_id", "operations", *(F.round(c, 4).alias(c) for c in SCORES))
+
+
+SQL_THRESHOLD = "case when {0} >= 0.8 then 64 when {0} >= 0.6 then 80 when {0} >= 0.4 then 96 when {0} >= 0.2 then 112 else 128 end"
+
+
+@query(f"select p_partkey, {SQL_THRESHOLD.format('x')} as threshold, p_size * 3 >= {SQL_THRESHOLD.format('x')} as splits from (select p_partkey, p_size, (p_partkey % 11) / 10.0 as x from part)")
+def adaptive_threshold(spark, sf_dir):
+    x = F.col("p_partkey") % 11 / 10.0
+    return read(spark, sf_dir, "part").select("p_partkey", maintain.split_threshold(x).alias("threshold"), maintain.should_split(F.col("p_size") * 3, x).alias("splits"))
+
+
+@query(SQL_HISTORY + """, sizes as (select c_nationkey % 16 as bucket_id, count(*) % 20 as entry_count from customer group by 1),
+b as (select sizes.bucket_id, entry_count, coalesce(danger, 0.0) as danger from sizes left join d using (bucket_id)),
+p as (select (bucket_id // 2) * 2 as bucket_id, count(*) as n, max(danger) as most, avg(danger) as average, max(entry_count) as size from b group by 1)
+select cast(bucket_id as bigint) as bucket_id, cast(bucket_id + 1 as bigint) as buddy_id, greatest(4, 8 + cast(floor(average / 5 * 4) as int)) as threshold, most <= 8 and size <= greatest(4, 8 + cast(floor(average / 5 * 4) as int)) as merges from p where n = 2""")
+def merge_decision(spark, sf_dir):
+    sizes = read(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") % 16).cast("long").alias("bucket_id")).agg((F.count("*") % 20).alias("entry_count"))
+    return maintain.merge_decisions(maintain.danger(*history(spark, sf_dir)), sizes)
+
+
+@query(SQL_HISTORY + "select n > 10 and buckets < n * 0.3 as sequential from share")
+def sequential_pattern(spark, sf_dir):
+    return maintain.is_sequential(history(spark, sf_dir)[0])
+
+
+@query(SQL_HISTORY + "select seq, bucket_id, op from h")
+def ops_trim(spark, sf_dir):
+    return maintain.trimmed(history(spark, sf_dir)[0]).select("seq", "bucket_id", "op")
+
+
+@query(SQL_HISTORY + """select bucket_id, operations, case when danger > 10 then 'Critical danger (score: ' || printf('%.1f', danger) || ') - immediate split recommended'
+ when danger > 5 then 'High danger (score: ' || printf('%.1f', danger) || ') - consider preemptive split' else 'Moderate activity (score: ' || printf('%.1f', danger) || ') - monitor closely' end as suggestion from d where danger >= 0.5""")
+def insight_tier(spark, sf_dir):
+    return maintain.insights(maintain.danger(*history(spark, sf_dir)))
+
+
+@query(SQL_HISTORY + "select bucket_id, round(danger, 4) as danger from d where danger >= 0.5 order by danger desc")
+def danger_list(spark, sf_dir):
+    return maintain.danger(*history(spark, sf_dir)).where("danger >= 0.5").select("bucket_id", F.round("danger", 4).alias("danger")).orderBy(F.desc("danger"))
+
+
+@query(SQL_HISTORY + "select count(*) as buckets, cast(sum(operations) as bigint) as operations, round(avg(danger), 4) as avg_danger, round(max(danger), 4) as max_danger from d")
+def analyzer_summary(spark, sf_dir):
+    return maintain.summary(maintain.danger(*history(spark, sf_dir))).select("buckets", "operations", F.round("avg_danger", 4).alias("avg_danger"), F.round("max_danger", 4).alias("max_danger"))
+
+
+@query(SQL_HISTORY + "select base.bucket_id, operations // 2 as operations, (select count(*) from h, now where h.bucket_id = base.bucket_id and now - ts < 300) as stamps from base, now where now - last <= 3600")
+def analyzer_reset(spark, sf_dir):
+    rows, now = history(spark, sf_dir)
+    kept = maintain.trimmed(rows).groupBy("bucket_id").agg(F.count("*").alias("operations"), F.max("ts").alias("last"), F.collect_list("ts").alias("stamps"))
+    return maintain.reset(kept, now).select("bucket_id", "operations", F.size("stamps").cast("long").alias("stamps"))
+
+
+@query("select user_id % 8 as bucket_id, event_id, row_number() over (partition by user_id % 8 order by event_id) <= 100 as sorted from events")
+def sorted_region(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("bucket_id"), F.col("event_id").alias("ht"))
+    return maintain.sorted_regions(rows, 100).withColumnRenamed("ht", "event_id")
+
+
+@query()
+def batch_tuner(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("event_id").alias("tick"), (F.col("value") / 1e6).alias("latency"), F.lit(0.0).alias("errors"), F.lit(0.9).alias("buffered"))
+    return maintain.tuned(rows)
+
+
+# Streams and stored layouts -------------------------------------------------------------------------------------
+
+
+def place(spark: SparkSession, name: str) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{shared}/tripleframe-{name}-{uuid.uuid4().hex}"
+
+
+@query("""select s, o from (select sha256('E:user:' || user_id) as s, sha256('E:evt:' || event_type) as o, arg_max(event_type <> 'error' or event_id % 2 = 0, event_id) as there from events group by 1, 2) where there""")
+def stream_set_state(spark, sf_dir):
+    """Set state of a stream of mutations, consumed in micro-batches of one file each."""
+    rows = read(spark, sf_dir, "events")
+    op = F.when((F.col("event_type") != "error") | (F.col("event_id") % 2 == 0), "INSERT").otherwise("DELETE")
+    made = rows.select(graph.named("user", "user_id").alias("s"), graph.named("evt", "event_type").alias("o"), op.alias("op"), F.col("event_id").alias("ord"))
+    source = place(spark, "mutations")
+    made.repartitionByRange(3, "ord").write.parquet(source)
+    state = streams.State(spark, place(spark, "state"), streams.folded_set)
+    streams.consume(spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(source), state, place(spark, "checkpoint"))
+    return edges(state.current())
+
+
+@query(FACTS + f"select s, o_cid from t where name = 'R:tpch:placedBy' and o_cid = {sql_cid('cust', CUST)}")
+def stored_layout(spark, sf_dir):
+    """Writes both layouts and answers (?, p, o) from the one that is sorted by object."""
+    path = place(spark, "layout")
+    tables.save_triples(graph.store(spark, sf_dir)._of([PLACED, NATION]), path, 8)
+    rows = tables.load_triples(spark, path, "osp", [PLACED])
+    return edges(rows.where(F.col("o_cid") == cid_of("cust", CUST).lit).select("s", "o_cid"))
+
+
+@query(f"select key, value from ({PARTS}) where key = {sql_cid('order', ORDER)}")
+def stored_kv(spark, sf_dir):
+    path = place(spark, "kv")
+    tables.save_kv(order_parts(spark, sf_dir), path)
+    return edges(tables.find_kv(spark, path, cid_of("order", ORDER)).select("key", "value"))
+
+
+@query("select i as id, sha256('42:s:' || i) as s, sha256('42:p:' || i) as p, sha256('42:o:' || i) as o from range(10000) t(i)")
+def triple_generator(spark, sf_dir):
+    return edges(tables.generated(spark, 10_000))
+
+
+# Extensions -----------------------------------------------------------------------------------------------------
+
+
+@query(FACTS + f"select {EDGE} from t where name = 'R:evt:did'")
+def ext_enumerate_p(spark, sf_dir):
+    return edges(graph.store(spark, sf_dir).enumerate(DID))
+
+
+@query("select sha256('E:user:' || user_id) as s, cast(sum(cast(floor(value) as bigint)) as bigint) as o_int from events group by user_id")
+def ext_counter_incr(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(graph.named("user", "user_id").alias("s"), F.floor("value").alias("o_int"))
+    return edges(ext.Accumulator(overflow="saturate").fold(rows).select("s", "o_int"))
+
+
+@query("select event_id, user_id from events where ts between (select min(ts) from events) + interval 1 day and (select min(ts) from events) + interval 2 day")
+def ext_timeseries_range(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").withColumn("ts", F.to_timestamp("ts"))
+    first = F.lit(rows.agg(F.min("ts")).first()[0])
+    return ext.series_range(rows, first + F.expr("interval 1 day"), first + F.expr("interval 2 days")).select("event_id", "user_id")
+
+
+@query("select event_id, user_id from events where event_type = 'error' and ts > (select max(ts) from events) - interval 24 hour")
+def ext_osp_recent(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").withColumn("ts", F.to_timestamp("ts"))
+    now = F.lit(rows.agg(F.max("ts")).first()[0])
+    return ext.series_recent(rows.where("event_type = 'error'"), now, 24).select("event_id", "user_id")
+
+
+@query(FACTS + "select s, o_cid from t where name = 'R:tpch:inRegion' union select o_cid, s from t where name = 'R:tpch:inRegion'")
+def ext_symmetric(spark, sf_dir):
+    return edges(ext.symmetric(graph.store(spark, sf_dir).enumerate(Cid.predicate("R:tpch:inRegion"))))
+
+
+@query(FACTS + "select name, count(*) as cardinality, count(distinct s) as subjects, round(1.0 / count(distinct s), 9) as selectivity from t group by 1")
+def ext_predicate_stats(spark, sf_dir):
+    found = ext.predicate_stats(graph.store(spark, sf_dir).everything())
+    return found.join(F.broadcast(graph.registry().frame(spark).select("p", "name")), "p").select("name", "cardinality", "subjects", F.round("selectivity", 9).alias("selectivity"))
+
+
+@query(FACTS + "select o.s as order_cid, n.o_cid as nation_cid from t o join t n on n.s = o.o_cid and n.name = 'R:tpch:inNation' where o.name = 'R:tpch:placedBy'")
+def ext_bgp_two_hop(spark, sf_dir):
+    """Orders with the nation of the customer who placed them."""
+    store = graph.store(spark, sf_dir)
+    orders = store.enumerate(PLACED).select(F.col("s").alias("order_cid"), F.col("o_cid").alias("cust_cid"))
+    return edges(store.join(orders, NATION, "cust_cid", "nation_cid").select("order_cid", "nation_cid"))
+
+
+@query("select sha256('E:user:' || user_id) as s, sha256('E:evt:' || arg_max(event_type, event_id)) as o_cid from events group by user_id")
+def ext_single_value(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(graph.named("user", "user_id").alias("s"), graph.named("evt", "event_type").alias("o_cid"), F.lit(None).cast("long").alias("o_int"), F.col("event_id").alias("ord"))
+    return edges(ext.SingleValue().fold(rows).select("s", "o_cid"))
+
+
+@query("select l_orderkey, l_partkey from (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by min(l_linenumber), l_partkey) as r from lineitem group by 1, 2) where r <= 2")
+def ext_max_size(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s"), F.col("l_partkey").alias("o_cid"), F.col("l_linenumber").alias("ord"))
+    return ext.at_most(rows, 2).select(F.col("s").alias("l_orderkey"), F.col("o_cid").alias("l_partkey"))
+
+
+@query("select p_partkey as s, count(*) as n from (select p_partkey, unnest(regexp_extract_all(lower(p_name), '([\\p{L}\\p{N}]+)')) as word from part) where word = (select min(w) from (select unnest(regexp_extract_all(lower(p_name), '([\\p{L}\\p{N}]+)')) as w from part)) group by 1")
+def ext_fulltext(spark, sf_dir):
+    index = ext.inverted(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("s"), F.col("p_name").alias("text")))
+    return ext.with_all_words(index, index.agg(F.min("word")).first()[0])
+
+
+@query("select event_type as p, count(distinct user_id) as subjects from events group by 1")
+def ext_bitmap_counts(spark, sf_dir):
+    return ext.bitmap_counts(read(spark, sf_dir, "events").select(F.col("event_type").alias("p"), "user_id"), F.col("user_id"))
+
+
+@query("select c_custkey as s from customer where c_custkey % 180 - 90 between -30 and 40 and (c_custkey * 7 % 360 - 180 >= 170 or c_custkey * 7 % 360 - 180 <= -120)")
+def ext_geo_box(spark, sf_dir):
+    points = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s"), (F.col("c_custkey") % 180 - 90).alias("lat"), (F.col("c_custkey") * 7 % 360 - 180).alias("lon"))
+    return ext.in_box(points, -30, 170, 40, -120).select("s")
+
+
+@query("select event_type, count(*) as n from events where event_type in (select unnest(['click', 'view', 'error'])) group by 1 having count(*) > 0")
+def ext_enum_values(spark, sf_dir):
+    allowed = [cid_of("evt", x) for x in ("click", "view", "error")]
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("s"), "event_type", graph.named("evt", "event_type").alias("o_cid"), F.lit(None).cast("long").alias("o_int"), F.col("event_id").alias("ord"))
+    kept = ext.Enumeration(allowed=allowed).fold(rows).select("s")
+    return rows.join(kept, "s").groupBy("event_type").agg(F.count("*").alias("n"))
+
