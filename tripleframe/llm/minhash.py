@@ -87,7 +87,7 @@ def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     value = word_bytes()[data]
     inside = np.concatenate([[False], value != 0, [False]])
-    cuts = starts[(starts > 0) & (starts < len(data))]
+    cuts = np.unique(starts[(starts > 0) & (starts < len(data))])
     step = np.diff(inside.astype(np.int8))
     first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     if len(cuts):  # a word ends where its text does
