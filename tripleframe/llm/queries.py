@@ -77,12 +77,6 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
-OP5_SQL = """
-select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes, record_type, refers_to from (
-  select page_id, html, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id = first then null else first end as refers_to
-  from (select page_id, html, min(page_id) over (partition by coalesce(html, '')) as first from pages))
-"""
-
 OP8_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
@@ -96,5 +90,21 @@ with v as (
 select query_id, cast(rank as int) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5
 """
 
+OP10_SQL = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.9
+), r(a, b) as (
+  select vec_id, vec_id from embeddings union select r.a, l.b from r join l on r.b = l.a
+), c as (
+  select a as vec_id, min(b) as component_id from r group by 1
+), n as (
+  select a as vec_id, count(*) as n_links from l group by 1
+)
+select c.vec_id, coalesce(n_links, 0) as n_links, component_id, c.vec_id = component_id as kept from c left join n on n.vec_id = c.vec_id
+"""
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_chat": op2_chat, "op3_packing": op3_packing, "op4_html": op4_html, "op5_warc": op5_warc, "op6_langid": op6_langid, "op7_minhash": op7_minhash, "op8_topk": op8_topk, "op9_suffix": op9_suffix, "op10_embed_dedup": op10_embed_dedup}
-ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op8_topk": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op8_topk": OP8_SQL, "op10_embed_dedup": OP10_SQL}
