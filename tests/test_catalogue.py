@@ -39,3 +39,11 @@ def test_query_equals_sql(spark, duck, name):
     columns = [d[0] for d in wanted.description]
     assert sorted(columns) == sorted(got.columns)
     assert normal(rows, got.columns) == normal(wanted.fetchall(), columns)
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= 100 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)

@@ -24,9 +24,9 @@ def link(table: str, s: tuple[str, str], o: tuple[str, str]) -> Log:
     return lambda t: t(table).select(s[1], o[1]).where(f"{s[1]} is not null and {o[1]} is not null").distinct().select(named(*s).alias("s"), named(*o).alias("o_cid"))
 
 
-def number(table: str, s: tuple[str, str], value: Column, order: Column) -> Log:
+def number(table: str, s: tuple[str, str], value: str, order: str) -> Log:
     """A counter: the last value by the given order, folded on the plain key before it is hashed."""
-    return lambda t: t(table).groupBy(s[1]).agg(F.max_by(value.cast("long"), order).alias("o_int")).where(f"{s[1]} is not null").select(named(*s).alias("s"), "o_int")
+    return lambda t: t(table).groupBy(s[1]).agg(F.max_by(F.expr(value).cast("long"), F.expr(order)).alias("o_int")).where(f"{s[1]} is not null").select(named(*s).alias("s"), "o_int")
 
 
 def both(*parts: Log) -> Log:
@@ -40,11 +40,11 @@ PREDICATES: dict[str, tuple[str, Log]] = {
     "R:tpch:suppliedBy": ("multivalue_set", link("lineitem", ("order", "l_orderkey"), ("supp", "l_suppkey"))),
     "R:tpch:inNation": ("multivalue_set", both(link("customer", ("cust", "c_custkey"), ("nation", "c_nationkey")), link("supplier", ("supp", "s_suppkey"), ("nation", "s_nationkey")))),
     "R:tpch:inRegion": ("multivalue_set", link("nation", ("nation", "n_nationkey"), ("region", "n_regionkey"))),
-    "R:tpch:partSize": ("counter", number("part", ("part", "p_partkey"), F.col("p_size"), F.col("p_partkey"))),
-    "R:tpch:lineCount": ("counter", number("lineitem", ("order", "l_orderkey"), F.col("l_linenumber"), F.col("l_linenumber"))),
-    "R:evt:lastValue": ("counter", number("events", ("user", "user_id"), F.floor(F.col("value") * 100), F.struct("ts", "event_id"))),
+    "R:tpch:partSize": ("counter", number("part", ("part", "p_partkey"), "p_size", "p_partkey")),
+    "R:tpch:lineCount": ("counter", number("lineitem", ("order", "l_orderkey"), "l_linenumber", "l_linenumber")),
+    "R:evt:lastValue": ("counter", number("events", ("user", "user_id"), "floor(value * 100)", "struct(ts, event_id)")),
     "R:evt:did": ("multivalue_set", link("events", ("user", "user_id"), ("evt", "event_type"))),
-    "R:doc:nChars": ("counter", number("documents", ("doc", "doc_id"), F.col("n_chars"), F.col("doc_id"))),
+    "R:doc:nChars": ("counter", number("documents", ("doc", "doc_id"), "n_chars", "doc_id")),
     "R:doc:lang": ("multivalue_set", link("documents", ("doc", "doc_id"), ("lang", "lang"))),
 }
 #: A predicate that nobody registered; its triples are hashed into the multimap.
