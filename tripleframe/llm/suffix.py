@@ -98,8 +98,8 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     yet are refined, by the ranks that stand as far to the right as is sorted so far, which doubles each time."""
     n = len(data)
     first = words_of(data)
-    sa = np.argsort(first, kind="stable")
-    fresh = np.r_[True, first[sa][1:] != first[sa][:-1]]
+    sa = n - 1 - np.argsort(first[::-1], kind="stable")  # of equal words the shorter suffix comes first
+    fresh = np.r_[True, (first[sa][1:] != first[sa][:-1]) | (sa[1:] > n - 8) | (sa[:-1] > n - 8)]
     place = np.arange(n)
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(fresh, place, 0))
@@ -230,9 +230,9 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int =
     """k1, k2 and intervals [lo, hi) of bytes to remove, of the texts of keyed()."""
     spark = docs.sparkSession
     found, found_path = written(find_anchors(docs, length, gram), "anchors")
-    met = found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
-    shared, shared_path = written(found.join(met, "a", "left_semi"), "shared-anchors")
-    dropped(spark, found_path)
+    met, met_path = written(found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), "met-anchors")  # a table, so that a very common anchor's rows can be split in the join
+    shared, _ = written(found.join(met, "a", "left_semi"), "shared-anchors")
+    dropped(spark, found_path, met_path)
     contexts = shared.groupBy("a", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "size")).alias("at"))
     contexts, _ = written(contexts.select("a", "ctx", "n", "at.*"), "contexts")
     whole = shared.join(contexts.where("n > 1").select("a", "ctx"), ["a", "ctx"]).select("k1", "k2", "lo", (F.col("lo") + F.col("size")).alias("hi"))
