@@ -368,31 +368,39 @@ def rest(members: DataFrame, tested: DataFrame, label: DataFrame, texts: DataFra
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, k (which tells rows of one id apart) and class_id, the smallest doc_id of the class; kept_k is the k
-    of the row that stays."""
+    of the row that stays. A table in the shared folder; what led to it is deleted."""
     spark = docs.sparkSession
-    rows = keyed(docs)
+    rows, scratch = keyed(docs), []
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        out, path = written(df, name)
+        scratch.append(path)
+        return out
+
     heavy = heavy_shingles(rows)
-    held, _ = written(signed(rows, heavy), "signatures")
+    held = table(signed(rows, heavy), "signatures")
     nodes = held.groupBy("node").agg(F.min("k").alias("k"), F.max("bands").alias("bands"))
     banded = nodes.where(F.size("bands") > 0).select("node", "k", F.posexplode("bands").alias("band", "h"))
     shared = banded.groupBy("band", "h").agg(F.count("*").alias("m"), F.min("node").alias("rep")).where("m > 1").drop("m")
-    members, _ = written(banded.join(shared, ["band", "h"]).select("band", "h", "node", "k", "rep"), "members")
-    involved = members.select("node", "k").distinct()
-    texts, _ = written(rows.select("k", "text").join(involved, "k").dropDuplicates(["node"]).select("node", "text") if repeats(held) else rows.select("k", "text").join(involved, "k").select("node", "text"), "involved-texts")
+    members = table(banded.join(shared, ["band", "h"]).select("band", "h", "node", "k", "rep"), "members")
+    involved = rows.select("k", "text").join(members.select("node", "k").distinct(), "k").select("node", "text")
+    texts = table(involved.dropDuplicates(["node"]) if repeats(held) else involved, "involved-texts")
     pairs = members.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
-    tested, _ = written(star(pairs, texts, heavy, 2 * threshold - 1), "stars")
-    edges = tested.where(F.col("s") >= threshold).select("a", "b")
-    label, label_path = written(components(edges), "labels")
-    more, _ = written(rest(members.drop("k"), tested, label, texts, heavy, threshold), "more-links")
+    tested = table(star(pairs, texts, heavy, 2 * threshold - 1), "stars")
+    label = table(components(tested.where(F.col("s") >= threshold).select("a", "b")), "labels")
+    more = table(rest(members.drop("k"), tested, label, texts, heavy, threshold), "more-links")
     if more.limit(1).count():
         joined = more.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
         # labels of labels: a node follows its first label to the last
         over = components(joined).toDF("label", "last")
         label = label.union(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("label")))
         label = label.join(over, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
-    out = held.select("node", "k", "doc_id").join(label, "node", "left").select("doc_id", "k", F.coalesce("label", "node").alias("label"))
-    least = out.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first"))
-    return out.join(least, "label").select("doc_id", "k", F.col("first.doc_id").alias("class_id"), F.col("first.k").alias("kept_k"))
+    # both sides of the last join are tables, so that the rows of a large class can be split
+    labelled = table(held.select("node", "k", "doc_id").join(label, "node", "left").select("doc_id", "k", F.coalesce("label", "node").alias("label")), "labelled")
+    least = table(labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first")), "least")
+    out, _ = written(labelled.join(least, "label").select("doc_id", "k", F.col("first.doc_id").alias("class_id"), F.col("first.k").alias("kept_k")), "classes")
+    dropped(spark, *scratch)
+    return out
 
 
 def repeats(held: DataFrame) -> bool:
@@ -402,7 +410,7 @@ def repeats(held: DataFrame) -> bool:
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stay, one of each class, with their columns."""
-    keys, _ = written(classes(docs, threshold), "classes")
+    keys = classes(docs, threshold)
     stay = keys.where(F.col("k") == F.col("kept_k")).select("k")
     with_k = docs.withColumn("__k", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     kept = with_k.join(stay.distinct().withColumnRenamed("k", "__k"), "__k", "left_semi")
