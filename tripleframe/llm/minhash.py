@@ -46,6 +46,8 @@ RARE, LEAST = 1000, 20
 CELLS, PART = 1 << 20, 1 << 14
 #: Texts that a task compares with one other, and texts of a block.
 STAR, BLOCK = 2000, 512
+#: Bytes of text that are made into shingles at a time.
+BYTES = 3 << 19
 MULT = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -59,8 +61,8 @@ def word_bytes() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
-def powers(n: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of MULT and of its inverse modulo 2**64."""
 
     def table(base: int) -> np.ndarray:
@@ -81,7 +83,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of every shingle of a string column of less than eight million bytes, or one long text."""
+    """(text, hash) of every shingle of a string column of about BYTES bytes, or one long text."""
     data, starts, ends = buffers(pc.utf8_lower(column.cast(pa.large_string())))
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -95,7 +97,7 @@ def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
         first, last = np.sort(np.concatenate([first, joined_])), np.sort(np.concatenate([last, joined_]))
     if not len(first):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    size = max(len(data) + 1, 1 << 23)
+    size = max(len(data) + 1, 1 << 21)
     up, down = powers(1 << (size - 1).bit_length())
     total = np.concatenate([[np.uint64(0)], np.cumsum(value * up[: len(data)], dtype=np.uint64)])
     word = mix((total[last] - total[first]) * down[first])
@@ -216,7 +218,7 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         total, n = np.zeros(CELLS, np.uint32), 0
         for batch in batches:
             n += batch.num_rows
-            for lo, hi in blocks(batch.column(0)):
+            for lo, hi in blocks(batch.column(0), BYTES):
                 _, h, _ = bags(batch.column(0).slice(lo, hi - lo))
                 total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
         parts = [zlib.compress(total[i : i + PART].tobytes(), 1) for i in range(0, CELLS, PART)]
@@ -250,7 +252,7 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times)], ["h", "df"])
 
         for batch in batches:
-            for lo, hi in blocks(batch.column(0)):
+            for lo, hi in blocks(batch.column(0), BYTES):
                 _, h, _ = bags(batch.column(0).slice(lo, hi - lo))
                 held.append(h[wanted[(h >> np.uint64(44)).astype(np.int64)]])
                 size += len(held[-1])
@@ -271,7 +273,7 @@ def signed(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo, hi in blocks(batch.column(3)):
+            for lo, hi in blocks(batch.column(3), BYTES):
                 part = batch.slice(lo, hi - lo)
                 begin, h, w = bags(part.column(3), heavy)
                 bands = band_hashes(samples(begin, h, w))
@@ -300,7 +302,7 @@ def star(pairs: DataFrame, texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray
             centre: tuple | None = None
             out: list[tuple] = []
             column = whole(group.column("text"))
-            for lo, hi in blocks(column):
+            for lo, hi in blocks(column, BYTES):
                 begin, h, w = bags(column.slice(lo, hi - lo), heavy)
                 for i in range(lo, hi):
                     x, y = begin[i - lo], begin[i - lo + 1]
