@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from .bpe import blocks
 from .common import only, written
 
+#: Ids of the sample that may be broadcast; with more languages than that they are joined by a shuffle.
+FEW = 200_000
 #: Training documents of each language; a bound on the sample, not on what is predicted.
 SAMPLE = 2000
+SALTS = 16
 #: N-grams of a profile.
 PROFILE = 400
 #: Letters with a code of their own; code 0 is a boundary, code 1 any other letter.
@@ -84,8 +87,13 @@ def held_out(c: Column, folds: int = FOLDS) -> Column:
 def profiles(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE) -> tuple[str, dict[str, np.ndarray]]:
     """The alphabet and each language's ranked n-grams, from a bounded sample of the training folds."""
     train = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = train.select("lang", "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id").distinct()
+    # the smallest hashes of each salt, then of these: no task ranks more rows of a language than SALTS times the sample
+    ranked = train.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)))
+    for by in (["lang", "salt"], ["lang"]):
+        ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("r") <= sample)
+    chosen, _ = written(ranked.select("doc_id").distinct(), "language-sample-ids")
+    if chosen.count() <= FEW:
+        chosen = F.broadcast(chosen)
     held, _ = written(train.join(chosen, "doc_id", "left_semi").select("lang", "text"), "language-sample")
 
     def letters(batches):
