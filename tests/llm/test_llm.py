@@ -205,6 +205,23 @@ def test_extraction_learns_a_hosts_template(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_templates_reach_into_articles(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 20) for _ in range(12)]
+    fixed = "<div><p>Read our terms before you go on</p></div>"
+    moving = ["<h2>About</h2><i>Now here</i>", "<i>Now here</i><h2>About</h2>"]
+    rows = [(i, f"http://h.example/{i}", f"<html><body><p>Top</p><article><h1>T{i}</h1>{fixed}<p>{t}</p></article><p>End</p></body></html>") for i, t in enumerate(texts)]
+    rows += [(100 + i, f"http://m.example/{i}", f"<html><body><article>{moving[i % 2]}{fixed}<p>{t}</p></article></body></html>") for i, t in enumerate(texts)]
+    rows += [(200 + i, "http://copies.example/", f"<html><body><nav>{i}</nav><article><h1>One</h1><p>{texts[0]}</p></article></body></html>") for i in range(6)]
+    rows += [(300 + i, "http://few.example/", rows[i][2]) for i in range(html_extract.PAGES - 1)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(12)] == [f"T{i}\n\n{t}" for i, t in enumerate(texts)]
+    # what stands in another order from page to page is no template's, what stands at one place is
+    assert all("Now here" in out[100 + i] and texts[i] in out[100 + i] and "our terms" not in out[100 + i] for i in range(12))
+    assert all(out[200 + i] == f"One\n\n{texts[0]}" for i in range(6))
+    assert all("our terms" in out[300 + i] and texts[i] in out[300 + i] for i in range(html_extract.PAGES - 1))
+
+
 # WARC ---------------------------------------------------------------------------------------------------------
 
 

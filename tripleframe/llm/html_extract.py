@@ -3,13 +3,16 @@
 A page is read as tokens: tags with their path, and the texts that stand between them. Per host, tokens with
 the same vector of occurrences over the host's pages form a class; vectors are compared by an order-free
 fingerprint (XOR of a hash of page and count), so they are summed up before any shuffle and never gathered.
-Classes that occur in most of a host's pages, have several tokens and nest (all occur equally often) make the
-host's template; its texts are no content. What is left are the template's slots: those inside the article (or
-main) element, or in the body where there is none, less slots that the template's elements mark as menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments.
+Classes that occur in most of a host's pages and have several tokens, each of them once in a page, are
+candidates. A second reading checks by positions that they nest: a token stays if it is as many-th of its class in
+every page. What stays is the host's template, and its texts are no content, within an article as well as outside.
+What is left are the template's slots: those inside the article (or main) element, or in the body where there is
+none, less slots that the template's elements mark as menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles or comments.
 
 Defined results: null or empty html has an empty text; a null or broken url belongs to the host ''; pages of
-hosts with fewer than `PAGES` pages have no template and keep to the elements; equal pages get equal texts;
+hosts with fewer than `PAGES` pages have no template and keep to the elements; an article of nothing but template
+texts (most of its host's pages are copies of it) keeps to the elements too; equal pages get equal texts;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -160,10 +163,10 @@ def token_vectors(pages: DataFrame) -> DataFrame:
             for lo, hi in blocks(batch.column(2)):
                 for page_id, url, page in zip(*(c.slice(lo, hi - lo).to_pylist() for c in batch.columns), strict=True):
                     host, seen = host_of(url), Counter()
-                    for path, text, inside, _, _ in parse(page or ""):
+                    for path, text, *_ in parse(page or ""):
                         if text is None:
                             seen[token_hash(path, None), False] += 1
-                        elif not inside and (clean := squeezed(text)):
+                        elif clean := squeezed(text):
                             seen[token_hash(path, clean), True] += 1
                     for (token, is_text), n in seen.items():
                         of = held.setdefault((host, token, is_text), [0, 0, 0])
@@ -180,34 +183,93 @@ def token_vectors(pages: DataFrame) -> DataFrame:
     return only(pages, page_id="long", url="string", html="string").mapInArrow(run, kind).groupBy("host", "token", "is_text").agg(F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.bit_xor("vector").alias("vector"))
 
 
+def with_hosts(pages: DataFrame, found: DataFrame, tokens: int) -> DataFrame:
+    """page_id, url, html, host and the other column of found (by host; null where it has none)."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string())], ["page_id", "url", "html", "host"])
+
+    rows = pages.mapInArrow(run, "page_id long, url string, html string, host string")
+    return rows.join(F.broadcast(found) if tokens <= FEW else found, "host", "left").select("page_id", "url", "html", "host", *(c for c in found.columns if c != "host"))
+
+
+def token_ranks(joined: DataFrame) -> DataFrame:
+    """host, class, token, is_text, and the least and largest rank of the token among its class in a page."""
+
+    def run(batches):
+        held: dict[tuple[str, int, int, bool], list[int]] = {}
+
+        def out():
+            keys = list(held)
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_()))), *(pa.array([held[k][i] for k in keys], pa.int64()) for i in range(2))],
+                ["host", "class", "token", "is_text", "least", "largest"],
+            )
+
+        for batch in batches:
+            for lo, hi in blocks(batch.column(2)):
+                part = batch.slice(lo, hi - lo)
+                for page, host, classes in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                    of = {t: c["class"] for c in classes or () for t in c["tokens"]}
+                    at: Counter[int] = Counter()
+                    for path, text, *_ in parse(page or "") if of else ():
+                        if text is not None and not (text := squeezed(text)):
+                            continue
+                        token = token_hash(path, text)
+                        if (c := of.get(token)) is None:
+                            continue
+                        rank = at[c]
+                        at[c] += 1
+                        found = held.setdefault((host, c, token, text is not None), [rank, rank])
+                        found[:] = min(found[0], rank), max(found[1], rank)
+                    if len(held) >= HELD:
+                        yield out()
+                        held.clear()
+        if held:
+            yield out()
+
+    kind = "host string, class long, token long, is_text boolean, least long, largest long"
+    return joined.mapInArrow(run, kind).groupBy("host", "class", "token", "is_text").agg(F.min("least").alias("least"), F.max("largest").alias("largest"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host and the texts (as token hashes) of its template."""
     vectors, _ = written(token_vectors(pages), "token-vectors")
     sizes = vectors.groupBy("host").agg(F.max("pages").alias("host_pages"))
-    kept = vectors.join(sizes, "host").where((F.col("host_pages") >= PAGES) & (F.col("pages") >= F.col("host_pages") * SHARE))
-    classes = kept.groupBy("host", "vector").agg(F.count("*").alias("n"), F.min(F.col("once") == F.col("pages")).alias("nests"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
-    return classes.where((F.col("n") >= TOKENS) & F.col("nests")).groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("template")).where(F.size("template") > 0)
+    often = vectors.where(F.col("pages") >= PAGES * SHARE)  # what a page alone has never meets the other tokens of its host
+    kept = often.join(sizes, "host").where((F.col("host_pages") >= PAGES) & (F.col("pages") >= F.col("host_pages") * SHARE))
+    classes = kept.groupBy("host", F.col("vector").alias("class")).agg(F.min(F.col("once") == F.col("pages")).alias("once"), F.max("is_text").alias("texts"), F.collect_list("token").alias("tokens"))
+    classes = classes.where((F.size("tokens") >= TOKENS) & F.col("once") & F.col("texts")).groupBy("host").agg(F.collect_list(F.struct("class", "tokens")).alias("classes"))
+    found, _ = written(classes, "token-classes")
+    tokens = found.agg(F.coalesce(F.sum(F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c["tokens"]))), F.lit(0))).first()[0]
+    stay = token_ranks(with_hosts(pages, found, tokens)).where("least = largest").groupBy("host", "class").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
+    return stay.where(F.col("n") >= TOKENS).groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("template")).where(F.size("template") > 0)
 
 
 def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     """The slots that hold the article, a block each."""
-    parts: list[tuple[bool, list[str]]] = []
-    open_block: list[str] | None = None
+    parts: list[tuple[bool, list[str], list[str]]] = []  # in the article, texts, those that are no template's
+    open_block: tuple[list[str], list[str]] | None = None
     where = None
     for path, text, inside, off, fresh in parse(page or ""):
         if text is None:
             if fresh:
                 open_block = None
             continue
-        if off or (not inside and template and token_hash(path, squeezed(text)) in template):
+        fixed = bool(template) and token_hash(path, squeezed(text)) in template
+        if off or (fixed and not inside):
             continue
         if open_block is None or fresh or where != inside:
-            open_block, where = [], inside
-            parts.append((inside, open_block))
-        open_block.append(text)
-    blocks_ = [(inside, squeezed("".join(x))) for inside, x in parts]
-    main = any(inside for inside, _ in blocks_)
-    return "\n\n".join(text for inside, text in blocks_ if text and (inside or not main))
+            open_block, where = ([], []), inside
+            parts.append((inside, *open_block))
+        open_block[0].append(text)
+        if not fixed:
+            open_block[1].append(text)
+    main = any(inside for inside, *_ in parts)
+    blocks_ = [(squeezed("".join(x)), squeezed("".join(own))) for inside, x, own in parts if inside or not main]
+    some = any(own for _, own in blocks_)
+    return "\n\n".join(text for every, own in blocks_ if (text := own if some else every))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -215,13 +277,7 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = only(pages, page_id="long", url="string", html="string")
     found, _ = written(templates(pages), "templates")
     size = found.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
-
-    def with_host(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string())], ["page_id", "url", "html", "host"])
-
-    rows = pages.mapInArrow(with_host, "page_id long, url string, html string, host string")
-    joined = rows.join(F.broadcast(found) if size <= FEW else found, "host", "left").select("page_id", "url", "html", "template")
+    joined = with_hosts(pages, found, size).select("page_id", "url", "html", "template")
 
     def run(batches):
         for batch in batches:
