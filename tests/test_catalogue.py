@@ -47,3 +47,9 @@ def test_entry_imports_without_a_session():
 
     code = "import __spark_entry__ as e; assert len(e.queries()) >= 100 and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_every_order_is_probed(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_orderpriority").collect()
+    found = catalogue.QUERIES["kv_composite_probe_all"](spark, SF).collect()
+    assert sorted(map(tuple, found)) == sorted((k, p == "1-URGENT") for k, p in orders)
