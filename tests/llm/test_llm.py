@@ -348,6 +348,26 @@ def test_near_duplicates_of_a_large_group(spark):
     assert minhash.classes(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_frequent_shingles_decide_links_of_few_texts(spark):
+    rng = random.Random(17)
+    words = lambda name, n: " ".join(f"{name}x{j}" for j in range(n))
+    passage = words("shared", 104)
+    texts = [f"{passage} {words(f'own{i}', 10)}" for i in range(20)] + [prose(rng, 100) for _ in range(38)]
+    texts += [f"{words('pair', 100)} {words(x, 3)}" for x in ("one", "two")]
+    bags = [bag(t) for t in texts]
+    df = Counter(g for b in bags for g in b)
+    idf = {g: 1 + np.log(len(texts) / max(n, len(texts) / 1000)) / np.log(1000) for g, n in df.items()}
+    wanted = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            inter, union = (sum(n * idf[g] for g, n in x.items()) for x in (bags[i] & bags[j], bags[i] | bags[j]))
+            if inter / union >= 0.8:
+                wanted = [wanted[j] if x == wanted[i] else x for x in wanted]
+    assert wanted[:20] == list(range(20)) and wanted[59] == 58 and brute_classes(texts)[19] == 0
+    out = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows_of(texts), DOCS)).collect()}
+    assert [out[i] for i in range(len(texts))] == wanted
+
+
 def test_weighted_samples_estimate_similarity():
     rng = np.random.default_rng(0)
     h = rng.integers(1, 1 << 62, 600, dtype=np.uint64)

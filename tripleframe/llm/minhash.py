@@ -1,7 +1,7 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
 A text is the bag of its five-word shingles (lower case, letters and digits), each weighing its count times a
-clipped inverse document frequency: idf = 1 + ln(N / max(df, N / RARE)) / ln(RARE), from 1 for a shingle that
+clipped inverse document frequency: idf = 1 + ln(N / max(df, N / RARE)) / ln(RARE), at any N, from 1 for a shingle that
 all N documents hold to 2 for those in less than one of RARE. Only frequencies above the clip matter; a sketch
 of fixed size over all documents names the cells that can hold such shingles, and those are counted exactly.
 Samples of the bag, BANDS times ROWS of them, are consistent weighted samples; texts that agree on a band share
@@ -40,8 +40,8 @@ from .suffix import buffers
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
-#: Document frequencies below one in so many documents, or below LEAST documents, weigh the same.
-RARE, LEAST = 1000, 20
+#: Document frequencies below one in so many documents weigh the same.
+RARE = 1000
 #: Cells of the frequency sketch, and cells of one row that it is handed on in.
 CELLS, PART = 1 << 20, 1 << 14
 #: Texts that a task compares with one other, and texts of a block.
@@ -120,7 +120,7 @@ def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     return rows, out
 
 
-def bags(column: pa.Array, heavy: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bags(column: pa.Array, heavy: tuple[np.ndarray, np.ndarray, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, hash, weight): the shingles of text i are begin[i]:begin[i + 1], sorted by hash."""
     text, h = shingles(column)
     order = np.lexsort((h, text))
@@ -134,12 +134,12 @@ def bags(column: pa.Array, heavy: tuple[np.ndarray, np.ndarray] | None = None) -
     return begin, h, tf
 
 
-def idf_of(h: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    keys, idf = heavy
+def idf_of(h: np.ndarray, heavy: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    keys, idf, others = heavy
     if not len(keys):
-        return np.full(len(h), 2.0)
+        return np.full(len(h), others)
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[at] == h, idf[at], 2.0)
+    return np.where(keys[at] == h, idf[at], others)
 
 
 @lru_cache(maxsize=1)
@@ -210,7 +210,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("node"), F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
 
 
-def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Hashes of the shingles whose document frequency is above the clip, sorted, and their idf. There are at most
     RARE times as many as a document has on average, and the sketch has CELLS cells whatever the input."""
 
@@ -229,17 +229,18 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for c in got["cells"]:
             total += np.frombuffer(zlib.decompress(c), np.uint32)
         n = int(got["n"].sum())
-        full = np.flatnonzero(total > max(n / RARE, LEAST))
+        full = np.flatnonzero(total > max(n / RARE, 1))
         return pd.DataFrame({"part": int(got["part"].iloc[0]), "n": n, "cell": [full.astype(np.int64)]})
 
     texts = docs.select("text")
     found = texts.mapInArrow(sketch, "part long, n long, cells binary").groupBy("part").applyInPandas(add, "part long, n long, cell array<long>").collect()  # CELLS bits at most
     n = max((r["n"] for r in found), default=0)
+    others = 1 + math.log(min(max(n, 1), RARE)) / math.log(RARE)  # of what one document holds, or too few
     cells = np.zeros(CELLS, bool)
     for r in found:
         cells[np.array(r["cell"], np.int64) + r["part"] * PART] = True
     if not cells.any():
-        return np.empty(0, np.uint64), np.empty(0)
+        return np.empty(0, np.uint64), np.empty(0), others
     chosen = np.packbits(cells)
 
     def count(batches):
@@ -262,13 +263,13 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if size:
             yield out()
 
-    rows = texts.mapInArrow(count, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") > max(n / RARE, LEAST)).collect()
+    rows = texts.mapInArrow(count, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") > max(n / RARE, 1)).collect()
     h, df = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["df"] for r in rows], float)
     order = np.argsort(h)
-    return h[order], 1 + np.log(n / np.minimum(df[order], n)) / math.log(RARE)
+    return h[order], 1 + np.log(n / np.minimum(df[order], n)) / math.log(RARE), others
 
 
-def signed(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def signed(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """node, k, doc_id, bands (null for texts without a word)."""
 
     def run(batches):
@@ -286,7 +287,7 @@ def signed(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return docs.select("node", "k", "doc_id", "text").mapInArrow(run, "node long, k long, doc_id long, bands array<long>")
 
 
-def star(pairs: DataFrame, texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], least: float) -> DataFrame:
+def star(pairs: DataFrame, texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray, float], least: float) -> DataFrame:
     """a, b, s for pairs (a, b) with a similarity of at least `least`. Texts of one b are dealt by salts, so that each
     task compares about STAR of them with it."""
     spark = pairs.sparkSession
@@ -316,7 +317,7 @@ def star(pairs: DataFrame, texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray
     return rows.mapInArrow(run, "a long, b long, s double")
 
 
-def rest(members: DataFrame, tested: DataFrame, label: DataFrame, texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+def rest(members: DataFrame, tested: DataFrame, label: DataFrame, texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray, float], threshold: float) -> DataFrame:
     """a, b: links between components within buckets that star() has left apart."""
     spark = members.sparkSession
     s = tested.select(F.col("a").alias("node"), F.col("b").alias("rep"), "s")
