@@ -7,8 +7,12 @@ one of its operands came out differently at a lower rank. The transducer buffers
 once it holds more than the lookahead, emits the tokens that end before the lookahead, and keeps the rest.
 Tokens without their left neighbours merge as before, so the left context can be dropped.
 
-Defined results: null or empty text has no tokens; texts of any length use memory for one buffer and a word
-table of bounded size; repeated rows give repeated results; other columns are not read.
+Texts come in slices. The end of a word makes all its tokens stable, so a word that a slice holds whole is merged
+at once, many in step, and kept in a table of bounded size; a word that goes on behind its slice runs through
+the transducer, which emits while it reads. Ids leave slice by slice, are hashed, and are decoded incrementally.
+
+Defined results: null or empty text has no tokens; texts of any length, with or without white space, use memory
+for a slice, a buffer and the table; repeated rows give repeated results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,15 @@ from .common import only
 
 #: Words whose tokens a Python worker keeps; beyond this the table starts anew.
 WORD_TABLE = 600_000
+#: Bytes of the longest word that the table keeps.
+SHORT = 15
+#: Words beyond SHORT whose tokens are kept.
+LONG_TABLE = 20_000
+#: Bytes of short texts that are encoded together.
+BYTES = 1 << 20
 #: Symbols merged at a time beyond the lookahead.
 BLOCK = 1024
-#: Longest text, in characters, normalised at a time.
+#: Characters of a slice; shorter texts are one.
 SLICE = 1 << 16
 NEVER = 1 << 62
 
@@ -43,8 +52,12 @@ NEVER = 1 << 62
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
-# The split pattern of the word-end tokenizer file, over lower-case text below U+0250.
-LATIN_WORDS = r"'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ɏ0-9²³¹¼½¾]+"
+# What the split pattern of the word-end tokenizer file tells apart in lower-case text below U+0250.
+LATIN_LETTERS = "a-zªµºß-öø-ɏ"
+LATIN_DIGITS = "0-9²³¹¼½¾"
+LATIN_SPACE = "\\t-\\r \\x85\\xa0"
+# Endings behind an apostrophe that are words of their own.
+ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 # Letters and digits that are younger than the split pattern's character tables.
 YOUNG = (
     r"\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
@@ -60,6 +73,8 @@ YOUNG = (
 LOWER = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
 LOWERED = {c: c + d for a, b, d in LOWER for c in range(a, b + 1)} | {ord("Σ"): "σ"}
 BEYOND_LATIN = re.compile("[^\x00-ɏ]").search
+#: Letters without case that neither compose nor decompose.
+SYLLABLES = re.compile("[ぁ-ゔァ-ヴ㐀-䶿一-鿿]{2}").fullmatch
 
 
 def byte_alphabet() -> list[str]:
@@ -146,10 +161,10 @@ class Grid:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.values[at], NEVER)
 
-    def merge(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids padded with -1, and how many each row has."""
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+    def merge(self, raw: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids padded with -1, and how many each row has; raw holds a word's bytes in each row."""
+        width, counts = raw.shape[1], counts.astype(np.int64)
+        words = raw
         columns = np.arange(width + 1)
         ids = np.full((len(words), width + 1), -1, np.int64)
         ids[:, :width] = np.where(columns[:-1] < counts[:, None], self.inner[raw], -1)
@@ -180,6 +195,195 @@ class Grid:
         return ids[:, :width], counts
 
 
+class WordTable:
+    """Words of at most SHORT bytes and their ids, by open addressing: a word's bytes and length are its two keys."""
+
+    def __init__(self, grid: Grid, most: int = WORD_TABLE):
+        self.grid, self.most = grid, most
+        self.mask = (1 << (2 * most - 1).bit_length() - 1) - 1
+        self.key1, self.key2 = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.uint64)
+        self.row = np.full(self.mask + 1, -1, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = 0
+        self.key2[:] = 0
+        self.row[:] = -1
+        self.begin, self.count, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words data[start:end], and how many each word has."""
+        if not len(starts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        size = ends - starts
+        first = words_of(np.concatenate([data, np.zeros(16, np.uint8)]))
+        key1 = first[starts] & KEEP[np.minimum(size, 8)]
+        key2 = first[starts + 8] & KEEP[np.maximum(size - 8, 0)] | size.astype(np.uint64)
+        slot = self.slots(key1, key2)
+        row = self.find(key1, key2, slot)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            if not self.learn(data, starts[new], size[new], key1[new], key2[new], slot[new]):
+                self.clear()
+                self.learn(data, starts, size, key1, key2, slot)
+            row = self.find(key1, key2, slot)
+        n = self.count[row]
+        stop = n.cumsum()
+        at = np.repeat(self.begin[row] - stop + n, n)
+        at += np.arange(len(at))
+        return self.pool[at], n
+
+    def slots(self, key1: np.ndarray, key2: np.ndarray) -> np.ndarray:
+        h = key1 * np.uint64(0x9E3779B97F4A7C15) + key2 * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def find(self, key1: np.ndarray, key2: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Rows, or -1."""
+        there = self.key2[slot]
+        row = np.where((there == key2) & (self.key1[slot] == key1), self.row[slot], -1)
+        open_ = np.flatnonzero((row < 0) & (there != 0))
+        at = slot[open_]
+        while len(open_):
+            at = (at + 1) & self.mask
+            there = self.key2[at]
+            hit = (there == key2[open_]) & (self.key1[at] == key1[open_])
+            row[open_[hit]] = self.row[at[hit]]
+            more = ~hit & (there != 0)
+            open_, at = open_[more], at[more]
+        return row
+
+    def learn(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, key1: np.ndarray, key2: np.ndarray, slot: np.ndarray) -> bool:
+        """Merges the words and keeps them, if there is room."""
+        order = np.lexsort((key2, key1))
+        order = order[np.r_[True, (key1[order[1:]] != key1[order[:-1]]) | (key2[order[1:]] != key2[order[:-1]])]]
+        if self.n and self.n + len(order) > self.most:
+            return False
+        for lo in range(0, len(order), 20_000):
+            self._add(data, *(x[order[lo : lo + 20_000]] for x in (starts, size, key1, key2, slot)))
+        return True
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, key1: np.ndarray, key2: np.ndarray, slot: np.ndarray) -> None:
+        for width in range(4, SHORT + 4, 4):
+            own = np.flatnonzero((size <= width) & (size > width - 4))
+            if not len(own):
+                continue
+            columns = np.arange(width)
+            raw = np.where(columns < size[own][:, None], data[np.minimum(starts[own][:, None] + columns, len(data) - 1)], 0)
+            ids, n = self.grid.merge(raw, size[own])
+            flat = ids[columns < n[:, None]].astype(np.uint32)
+            rows = np.arange(self.n, self.n + len(own))
+            self.begin, self.count, self.pool = grown(self.begin, rows[-1] + 1), grown(self.count, rows[-1] + 1), grown(self.pool, self.used + len(flat))
+            self.begin[rows], self.count[rows], self.pool[self.used : self.used + len(flat)] = self.used + n.cumsum() - n, n, flat
+            self.used += len(flat)
+            self.n += len(own)
+            at = slot[own]
+            while len(own):  # the last of those that want a free slot gets it
+                free = self.row[at] < 0
+                self.row[at[free]] = rows[free]
+                got = self.row[at] == rows
+                self.key1[at[got]], self.key2[at[got]] = key1[own[got]], key2[own[got]]
+                own, rows, at = own[~got], rows[~got], (at[~got] + 1) & self.mask
+
+
+#: Masks that keep so many leading bytes.
+KEEP = np.array([(1 << 64) - (1 << 64 - 8 * n) for n in range(9)], np.uint64)
+
+
+def grown(x: np.ndarray, size: int) -> np.ndarray:
+    """x, with room for so many entries."""
+    return x if size <= len(x) else np.concatenate([x, np.zeros(max(size, 3 * len(x) // 2) - len(x), x.dtype)])
+
+
+def words_of(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from each position as a big-endian number."""
+    w = np.zeros(len(data) + 8, np.uint64)
+    w[: len(data)] = data
+    for step in (1, 2, 4):
+        w[:-step] = (w[:-step] << np.uint64(8 * step)) | w[step:]
+    return w[: len(data)]
+
+
+SPACE, LETTER, DIGIT, OTHER = range(4)
+
+
+@lru_cache(maxsize=1)
+def latin_kinds() -> np.ndarray:
+    """The kind of each code point below U+0250."""
+    out = np.full(0x250, OTHER, np.uint8)
+    for kind, inside in ((SPACE, LATIN_SPACE), (LETTER, LATIN_LETTERS), (DIGIT, LATIN_DIGITS)):
+        out[[c for c in range(0x250) if re.fullmatch(f"[{inside}]", chr(c))]] = kind
+    return out
+
+
+def latin_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words of lower-case text below U+0250 start and end: endings behind an apostrophe, runs of letters,
+    single digits, and runs of other characters."""
+    n = len(data)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    kinds = np.zeros(256, np.uint8)
+    kinds[:128] = latin_kinds()[:128]
+    kind = kinds[data]
+    inner = data & 0xC0 == 0x80
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        kind[lead] = kind[lead + 1] = latin_kinds()[(data[lead] & 0x1F).astype(np.int64) << 6 | data[lead + 1] & 0x3F]
+    start = kind != SPACE
+    start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) & ~inner[1:]
+    stop = np.empty(n, bool)
+    stop[:-1] = (kind[:-1] != SPACE) & ((kind[1:] == SPACE) | start[1:])
+    stop[-1] = kind[-1] != SPACE
+    starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    at = np.flatnonzero((data[starts] == ord("'")) & (ends - starts == 1))
+    at = at[at + 1 < len(starts)]
+    at = at[(starts[at + 1] == ends[at]) & (kind[starts[at + 1]] == LETTER)]
+    if len(at):
+        takes = np.zeros(len(at), np.int64)
+        for x in ENDINGS:
+            here = starts[at + 1]
+            fits = here + len(x) <= ends[at + 1]
+            for i, c in enumerate(x):
+                fits &= data[np.minimum(here + i, n - 1)] == ord(c)
+            takes[fits] = len(x)
+        at, takes = at[takes > 0], takes[takes > 0]
+        ends[at] += takes
+        starts[at + 1] += takes
+        keep = starts < ends
+        starts, ends = starts[keep], ends[keep]
+    return starts, ends
+
+
+def slices(text: str) -> Iterator[tuple[str, bool]]:
+    """A text in parts of about SLICE characters, and whether the last word goes on behind the part. Parts end behind
+    white space if there is some, else between characters that no composition and no ending joins."""
+    at = 0
+    while len(text) - at > SLICE:
+        end = max(text.rfind(" ", at + SLICE // 2, at + SLICE), text.rfind("\n", at + SLICE // 2, at + SLICE)) + 1
+        goes_on = False
+        if not end:
+            end = at + SLICE
+            while end < len(text) and (joint := joins(text, end)) is None:
+                end += 1
+            goes_on = end < len(text) and joint
+        yield text[at:end], goes_on
+        at = end
+    yield text[at:], False
+
+
+def joins(text: str, at: int) -> bool | None:
+    """Whether a word goes on across a place in a text; None if the text must not be cut there."""
+    a, b = text[at - 1], text[at]
+    if "'" in text[max(at - 4, 0) : at + 4]:
+        return None
+    if a.isascii() and b.isascii():
+        if a.isalpha() or b.isalpha():
+            return a.isalpha() and b.isalpha()
+        return not (a.isdigit() or b.isdigit() or a in WHITE_SPACE or b in WHITE_SPACE)
+    return True if SYLLABLES(a + b) else None
+
+
 class Codec:
     """Encoder and decoder of a tokenizer file of the kind BPE with a byte-level alphabet and word ends."""
 
@@ -214,101 +418,113 @@ class Codec:
             split = split.replace(f"[{name}]", inside).replace(f"{name}+", f"{inside}+") if f"[{name}]" in split else split
         split = split.replace("[^\\s\\p{L}\\p{N}]", f"[^{re.escape(WHITE_SPACE)}[\\p{{L}}\\p{{N}}--[{YOUNG}]]]")
         self.find = regex.compile(split, regex.V1).findall
-        self.find_latin = re.compile(LATIN_WORDS).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
-        self.words: dict[str, bytes] = {}
         self.grid = Grid(pairs, self.inner, self.last)
-
-    def learn(self, words: set[str]) -> None:
-        """Puts the packed ids of new words into the word table: short ones many at a time, others one by one."""
-        if len(self.words) + len(words) > WORD_TABLE:
-            self.words.clear()
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
-            if len(raw) > 32:
-                ids = self.word(w)
-                self.words[w] = pack(f"<{len(ids)}I", *ids)
-            else:
-                by_width.setdefault((len(raw) + 3) // 4 * 4, []).append((w, raw))
-        for width, group in by_width.items():
-            for lo in range(0, len(group), 20_000):
-                part = group[lo : lo + 20_000]
-                rows, counts = self.grid.merge([raw for _, raw in part], width)
-                flat, ends = rows[np.arange(width) < counts[:, None]].astype("<u4").tobytes(), (counts.cumsum() * 4).tolist()
-                at = 0
-                for (w, _), end in zip(part, ends, strict=True):
-                    self.words[w] = flat[at:end]
-                    at = end
-
-    def word(self, word: str) -> list[int]:
-        """Tokens of a word, by the transducer."""
-        raw = word.encode("utf-8", "surrogatepass")
-        symbols = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        if len(symbols) <= self.merges.lookahead:  # all of it is still unstable when it ends
-            return self.merges.merge(symbols)
-        machine = Transducer(self.merges, self.lengths)
-        return machine.push(symbols) + machine.finish()
-
-    def _slices(self, text: str) -> Iterator[str]:
-        """The text, cut behind white space, which no word and no composition crosses."""
-        at = 0
-        while len(text) - at > SLICE:
-            end = at + SLICE
-            while end < len(text) and text[end - 1] not in " \n":
-                end += 1
-            yield text[at:end]
-            at = end
-        yield text[at:] if at else text
-
-    def encode_packed(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return self.encode_many([text])[0]
-
-    def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
-        """encode_packed for several texts; their new words are merged together."""
-        out: list[list] = []
-        late: list[tuple[list, int, list[str]]] = []
-        new: set[str] = set()
-        get = self.words.get
-        for text in texts:
-            parts: list = []
-            out.append(parts)
-            pieces = self.cut(text) if text and self.special and "<|" in text else [text]
-            for piece in pieces:
-                if not piece:
-                    continue
-                if piece in self.special:
-                    parts.append(pack("<I", self.special[piece]))
-                    continue
-                for words in self._words(piece):
-                    found = list(map(get, words))
-                    if None in found:
-                        new.update(w for w, x in zip(words, found, strict=True) if x is None)
-                        late.append((parts, len(parts), words))
-                        parts.append(b"")
-                    else:
-                        parts.append(b"".join(found))
-        if new:
-            self.learn(new)
-        for parts, at, words in late:
-            if len(self.words) < len(new) or any(w not in self.words for w in words):  # the table was cleared
-                self.learn({w for w in words if w not in self.words})
-            parts[at] = b"".join(map(self.words.__getitem__, words))
-        return [b"".join(parts) for parts in out]
-
-    def _words(self, text: str) -> Iterator[list[str]]:
-        for part in self._slices(text):
-            if not part.isascii() and not unicodedata.is_normalized("NFC", part):
-                part = unicodedata.normalize("NFC", part)
-            if BEYOND_LATIN(part):
-                yield self.find(part.translate(LOWERED).lower())
+        self.table = WordTable(self.grid)
+        self.long: dict[bytes, np.ndarray] = {}
+
+    def word(self, raw: bytes) -> np.ndarray:
+        """Tokens of a long word, by the transducer."""
+        found = self.long.get(raw)
+        if found is None:
+            symbols = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
+            machine = Transducer(self.merges, self.lengths)
+            found = np.array(machine.push(symbols) + machine.finish(), np.uint32)
+            if len(raw) <= self.merges.lookahead:
+                if len(self.long) >= LONG_TABLE:
+                    self.long.clear()
+                self.long[raw] = found
+        return found
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words data[start:end], and how many each word has."""
+        short = ends - starts <= SHORT
+        if short.all():
+            return self.table.ids(data, starts, ends)
+        late = np.flatnonzero(~short)
+        raw = data.tobytes()
+        found = [self.word(raw[a:b]) for a, b in zip(starts[late].tolist(), ends[late].tolist(), strict=True)]
+        ids, n = self.table.ids(data, starts[short], ends[short])
+        counts = np.zeros(len(starts), np.int64)
+        counts[short] = n
+        counts[late] = [len(x) for x in found]
+        of_short = np.repeat(short, counts)
+        out = np.empty(len(of_short), np.uint32)
+        out[of_short] = ids
+        out[~of_short] = np.concatenate(found)
+        return out, counts
+
+    def normal(self, part: str) -> tuple[str, bool]:
+        """Lower case in composed form, and whether all of it is Latin."""
+        if not part.isascii() and not unicodedata.is_normalized("NFC", part):
+            part = unicodedata.normalize("NFC", part)
+        if BEYOND_LATIN(part):
+            return part.translate(LOWERED).lower(), False
+        part = part.lower()  # some capitals of the Latin block have a small letter beyond it
+        return part, not BEYOND_LATIN(part)
+
+    def split(self, part: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A slice as bytes, and where its words start and end in them."""
+        part, latin = self.normal(part)
+        if latin:
+            data = np.frombuffer(part.encode(), np.uint8)
+            return data, *latin_words(data)
+        found = [w.encode("utf-8", "surrogatepass") for w in self.find(part)]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.frombuffer(b"".join(found), np.uint8), np.r_[0, ends[:-1]] if len(ends) else ends, ends
+
+    def stream(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of a text, slice by slice."""
+        for piece in self.cut(text) if self.special and "<|" in text else [text]:
+            if piece in self.special:
+                yield np.array([self.special[piece]], np.uint32)
                 continue
-            part = part.lower()  # some capitals of the Latin block have a small letter beyond it
-            yield self.find(part) if BEYOND_LATIN(part) else self.find_latin(part)
+            machine, held = None, -1  # of a word that goes on: its transducer, and its last byte so far
+            for part, goes_on in slices(piece):
+                data, starts, ends = self.split(part)
+                if not len(starts):
+                    continue
+                if machine is not None:
+                    raw = data[: ends[0]].tolist()
+                    if goes_on and len(starts) == 1:
+                        yield np.array(machine.push([self.inner[held], *(self.inner[b] for b in raw[:-1])]), np.uint32)
+                        held = raw[-1]
+                        continue
+                    yield np.array(machine.push([self.inner[held], *(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]]) + machine.finish(), np.uint32)
+                    machine, starts, ends = None, starts[1:], ends[1:]
+                if goes_on:
+                    yield self.words(data, starts[:-1], ends[:-1])[0]
+                    raw = data[starts[-1] :].tolist()
+                    machine, held = Transducer(self.merges, self.lengths), raw[-1]
+                    yield np.array(machine.push(self.inner[b] for b in raw[:-1]), np.uint32)
+                else:
+                    yield self.words(data, starts, ends)[0]
+
+    def streams(self, texts: list[str | None]) -> Iterator[Iterable[np.ndarray]]:
+        """For each text its ids in parts, in order; each is to be read before the next. Short texts are encoded together."""
+        made: list[np.ndarray | None] = [None] * len(texts)
+        held: list[str] = []
+        of: list[int] = []
+        for i, text in enumerate(texts):
+            if text and len(text) <= SLICE and not (self.special and "<|" in text):
+                part, latin = self.normal(text)
+                if latin:
+                    held.append(part)
+                    of.append(i)
+        if held:
+            raw = [x.encode() for x in held]
+            data = np.frombuffer(b"\n".join(raw), np.uint8)
+            starts, ends = latin_words(data)
+            ids, n = self.words(data, starts, ends)
+            begin = np.cumsum([0, *(len(x) + 1 for x in raw)])
+            at = np.concatenate([[0], n.cumsum()])[np.searchsorted(starts, begin)].tolist()
+            for i, a, b in zip(of, at, at[1:], strict=False):
+                made[i] = ids[a:b]
+        for text, ids in zip(texts, made, strict=True):
+            yield [ids] if ids is not None else self.stream(text) if text else []
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
+        return [int(i) for part in next(iter(self.streams([text]))) for i in part]
 
     def decoder(self) -> Decoder:
         return Decoder(self)
@@ -355,16 +571,19 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         c = codec(tokenizer)
         for batch in batches:
             keys = batch.column(0)
-            for lo, hi in blocks(batch.column(1)):
-                ids = c.encode_many(batch.column(1).slice(lo, hi - lo).to_pylist())
-                texts = [c.decode(memoryview(x).cast("I")) for x in ids]
+            for lo, hi in blocks(batch.column(1), BYTES):
+                ids, texts = [], []
+                for parts in c.streams(batch.column(1).slice(lo, hi - lo).to_pylist()):
+                    found = np.concatenate([np.empty(0, np.uint32), *parts])
+                    ids.append(found.astype("<u4").tobytes())
+                    texts.append(c.decode(found.tolist()))
                 yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["id", "n_tokens", "ids", "decoded"])
 
     rows = only(docs, **{id_col: "long", text_col: "string"})
     return rows.mapInArrow(run, "id long, n_tokens long, ids binary, decoded string").withColumnRenamed("id", id_col)
 
 
-def blocks(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a text column with about so many bytes each, so that a batch of very long texts is done in parts."""
     n = len(column)
     if not n:
@@ -379,23 +598,25 @@ def blocks(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", step: int = 1 << 14) -> DataFrame:
-    """As encode_decode, with digests in place of ids and text; both stream through their hash a block at a time."""
+    """As encode_decode, with digests in place of ids and text; both stream through their hash part by part."""
 
     def run(batches):
         c = codec(tokenizer)
         for batch in batches:
-            n, ids_hex, text_hex = array("q"), [], []
-            for lo, hi in blocks(batch.column(1)):
-                for packed in c.encode_many(batch.column(1).slice(lo, hi - lo).to_pylist()):
-                    ids = memoryview(packed).cast("I")
-                    n.append(len(ids))
-                    ids_hex.append(hashlib.sha256(packed).hexdigest())
-                    machine, h = c.decoder(), hashlib.sha256()
-                    for at in range(0, len(ids), step):
-                        h.update(machine.push(ids[at : at + step]).encode())
-                    h.update(machine.finish().encode())
-                    text_hex.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for lo, hi in blocks(batch.column(1), BYTES):
+                n, ids_hex, text_hex = array("q"), [], []
+                for parts in c.streams(batch.column(1).slice(lo, hi - lo).to_pylist()):
+                    size, of_ids, of_text, machine = 0, hashlib.sha256(), hashlib.sha256(), c.decoder()
+                    for part in parts:
+                        size += len(part)
+                        of_ids.update(part.astype("<u4", copy=False).data)
+                        for at in range(0, len(part), step):
+                            of_text.update(machine.push(part[at : at + step].tolist()).encode())
+                    of_text.update(machine.finish().encode())
+                    n.append(size)
+                    ids_hex.append(of_ids.hexdigest())
+                    text_hex.append(of_text.hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = only(docs, **{id_col: "long", text_col: "string"})
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,25 +41,35 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """Every document's ids and the end id, cut into pieces of at most `capacity`."""
 
     def run(batches):
-        c, end = codec(tokenizer), end_id.to_bytes(4, "little")
+        c, end = codec(tokenizer), np.array([end_id], np.uint32)
         for batch in batches:
             for lo, hi in blocks(batch.column(1)):
-                ids = batch.column(0).slice(lo, hi - lo).to_pylist()
                 key, piece, start, length, crc = [], array("i"), array("q"), array("q"), array("q")
-                for k, packed in zip(ids, c.encode_many(batch.column(1).slice(lo, hi - lo).to_pylist()), strict=True):
-                    packed += end
-                    for n, at in enumerate(range(0, len(packed), 4 * capacity)):
-                        part = packed[at : at + 4 * capacity]
+                for k, parts in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), c.streams(batch.column(1).slice(lo, hi - lo).to_pylist()), strict=True):
+                    for n, part in enumerate(cut(parts, end, capacity)):
                         key.append(k)
                         piece.append(n)
-                        start.append(at // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
+                        start.append(n * capacity)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.astype("<u4", copy=False).data))
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return only(docs, **{id_col: "long", text_col: "string"}).mapInArrow(run, PIECE)
 
 
+def cut(parts: Iterable[np.ndarray], end: np.ndarray, capacity: int) -> Iterator[np.ndarray]:
+    """Ids that come in parts, and the end id, as pieces of `capacity`; the last may be shorter."""
+    rest = np.empty(0, np.uint32)
+    for part in chain(parts, [end]):
+        part = np.concatenate([rest, part]) if len(rest) else part
+        whole = (len(part) - 1) // capacity * capacity if part is not end else 0  # the last piece waits for the end
+        for at in range(0, max(whole, 0), capacity):
+            yield part[at : at + capacity]
+        rest = part[max(whole, 0) :]
+    for at in range(0, len(rest), capacity):
+        yield rest[at : at + capacity]
+
+
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Patterns over few sizes and how often each is used (rounded down), by column generation with a dense basis."""
     k = len(sizes)
