@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,28 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select([F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with underscores in front until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def quoted(df: DataFrame) -> list[str]:
+    """The names of df's columns, as select() takes them whatever they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+def mapped(df: DataFrame, run, like: DataFrame) -> DataFrame:
+    """mapInArrow with the columns of `like`; names with dots, which it does not take, are put aside meanwhile."""
+    kind = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(like.schema)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, kind).toDF(*like.columns)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,9 +98,10 @@ def whole_groups(batches, n_keys: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and label (the smallest node that it can reach) of all nodes with an edge (a, b), by alternating
-    large and small stars; minima are aggregated before the shuffle, each round is a table in the shared folder."""
+    large and small stars until nothing changes; minima are aggregated before the shuffle, each round is a table in
+    the shared folder."""
     spark = edges.sparkSession
 
     def star(df: DataFrame, large: bool) -> DataFrame:
@@ -92,7 +116,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     now, path = written(edges.toDF("a", "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     was = state(now)
-    for _ in range(rounds):
+    while True:
         after, new_path = written(star(star(now, True), False), "edges")
         dropped(spark, path)
         now, path = after, new_path

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import blocks
-from .common import components, dropped, only, shuffle_parts, whole_groups, written
+from .common import components, dropped, free_names, only, quoted, shuffle_parts, whole_groups, written
 from .suffix import buffers
 
 WORDS = 5
@@ -47,7 +47,7 @@ CELLS, PART = 1 << 20, 1 << 14
 #: Texts that a task compares with one other, and texts of a block.
 STAR, BLOCK = 2000, 512
 #: Bytes of text that are made into shingles at a time.
-BYTES = 3 << 19
+BYTES = 1 << 20
 MULT = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -97,7 +97,7 @@ def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
         first, last = np.sort(np.concatenate([first, joined_])), np.sort(np.concatenate([last, joined_]))
     if not len(first):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    size = max(len(data) + 1, 1 << 21)
+    size = max(len(data) + 1, BYTES)
     up, down = powers(1 << (size - 1).bit_length())
     total = np.concatenate([[np.uint64(0)], np.cumsum(value * up[: len(data)], dtype=np.uint64)])
     word = mix((total[last] - total[first]) * down[first])
@@ -414,7 +414,8 @@ def repeats(held: DataFrame) -> bool:
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stay, one of each class, with their columns."""
     keys = classes(docs, threshold)
-    stay = keys.where(F.col("k") == F.col("kept_k")).select("k")
-    with_k = docs.withColumn("__k", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = with_k.join(stay.distinct().withColumnRenamed("k", "__k"), "__k", "left_semi")
-    return (kept.dropDuplicates(["__k"]) if repeats(keys) else kept).select(*docs.columns)
+    (name,) = free_names(docs, "k")
+    stay = keys.where(F.col("k") == F.col("kept_k")).select(F.col("k").alias(name)).distinct()
+    with_k = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = with_k.join(stay, name, "left_semi")
+    return (kept.dropDuplicates([name]) if repeats(keys) else kept).select(*quoted(docs))

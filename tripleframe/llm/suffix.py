@@ -7,12 +7,21 @@ that occur twice as a whole are repeats throughout, which counting shows. The re
 shards by anchor: a shard sorts the suffixes of its contexts (Larsson-Sadakane refinement), finds common
 prefixes (Kasai, many lanes in step), and marks windows that share LENGTH bytes with a neighbour. An anchor
 with more bytes than a shard may hold is split into blocks, and each pair of blocks is a task that looks the
-windows of one up in the other's suffix array by binary search. Nothing is dropped or capped, and each
-comparison is of bytes; only the grouping goes by 64-bit hashes of anchor and context.
+windows of one up in the other's suffix array by binary search.
 
-Defined results: null text is empty; texts shorter than LENGTH bytes keep all; rows that repeat count as
-other documents, so that repeated long texts go wholly; an empty table gives an empty result; other columns
-are not read.
+Pairs of blocks grow with the square of their number, so an anchor of more than PAIRED blocks, a passage that very
+many texts share in different surroundings, is first *refined*, in work that grows with its contexts alone. A
+context's windows are dealt into runs of STEP by where the anchor stands in them. Windows of a run all hold the same
+core of LENGTH - STEP + 1 bytes, so a run whose core no other context has drops out, and runs that are equal as a
+whole are repeats throughout; where cores are equal and runs are not, the windows of each different run are counted
+one by one.
+
+Nothing is dropped or capped. Shards compare bytes; whole contexts, cores, runs and windows of refined anchors go by
+128-bit hashes, and so do the texts that rows belong to.
+
+Defined results: null text is empty; texts shorter than LENGTH bytes keep all; very long texts are searched for
+anchors a part at a time; rows that repeat count as other documents, so that repeated long texts go wholly; an empty
+table gives an empty result; other columns are not read, and cleaned() hands them on whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +35,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import blocks
-from .common import dropped, only, shuffle_parts, whole_groups, written
+from .bpe import blocks, words_of
+from .common import dropped, free_names, mapped, only, quoted, shuffle_parts, whole_groups, written
 
 LENGTH = 400
 GRAM = 32
 #: Bytes of contexts that one suffix array holds.
-SHARD = 2 << 20
+SHARD = 1 << 20
+#: Bytes of a text that are searched for anchors at a time.
+PART = 1 << 20
 SEED = np.uint64(0x9E3779B97F4A7C15)
 SEPARATOR = 0xFF  # no byte of UTF-8
-ANCHORS = "k1 long, k2 long, lo long, size long, a long, ctx long"
+#: Blocks of an anchor whose pairs are compared; one with more is refined by runs of so many windows.
+PAIRED, STEP = 4, 24
+ANCHORS = "k1 long, k2 long, lo long, size long, p long, a long, ctx binary"
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -63,11 +76,11 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """For texts data[starts:ends]: (text, first window, last window, anchor hash) of each run of windows."""
+    """For texts data[starts:ends]: (text, first window, last window, anchor, its hash) of each run of windows."""
     size = ends - starts
     long = np.flatnonzero(size >= length)
     if not len(long):
-        return tuple(np.empty(0, np.int64) for _ in range(4))
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     hashes = gram_hashes(np.concatenate([data, np.zeros(gram, np.uint8)]), gram)[: len(data)]
     key = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(data), dtype=np.uint64)
     at = (sliding_minimum(key, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -82,15 +95,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     stop = live.copy()
     stop[:-1] &= fresh[1:] | ~live[1:]
     last = np.flatnonzero(stop)
-    return np.searchsorted(starts, first, "right") - 1, first, last, hashes[at[first]].view(np.int64)
-
-
-def words_of(data: np.ndarray) -> np.ndarray:
-    """Eight bytes from each position as a big-endian number."""
-    w = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for step in (1, 2, 4):
-        w[:-step] = (w[:-step] << np.uint64(8 * step)) | w[step:]
-    return w[: len(data)]
+    return np.searchsorted(starts, first, "right") - 1, first, last, at[first], hashes[at[first]].view(np.int64)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -98,20 +103,19 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     yet are refined, by the ranks that stand as far to the right as is sorted so far, which doubles each time."""
     n = len(data)
     first = words_of(data)
-    sa = n - 1 - np.argsort(first[::-1], kind="stable")  # of equal words the shorter suffix comes first
-    fresh = np.r_[True, (first[sa][1:] != first[sa][:-1]) | (sa[1:] > n - 8) | (sa[:-1] > n - 8)]
-    place = np.arange(n)
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(fresh, place, 0))
+    sa = (n - 1 - np.argsort(first[::-1], kind="stable")).astype(np.int32)  # of equal words the shorter suffix comes first
+    fresh = np.r_[True, (np.diff(first[sa]) != 0) | (sa[1:] > n - 8) | (sa[:-1] > n - 8)]
+    del first
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), 0))
     h = 8
     while h < n:
-        single = fresh & np.r_[fresh[1:], True]
-        open_ = np.flatnonzero(~single)
+        open_ = np.flatnonzero(~(fresh & np.r_[fresh[1:], True])).astype(np.int32)
         if not len(open_):
             break
         index = sa[open_]
-        after = np.where(index + h < n, rank[np.minimum(index + h, n - 1)] + 1, 0)
-        key = rank[index] << 32 | after
+        key = rank[index].astype(np.int64) << 32
+        key |= np.where(index < n - h, rank[np.minimum(index, n - h - 1) + h] + 1, 0)
         order = np.argsort(key, kind="stable")
         index, key = index[order], key[order]
         sa[open_] = index
@@ -125,9 +129,9 @@ def kasai(data: np.ndarray, sa: np.ndarray, cap: int = LENGTH, lanes: int = 4096
     """By position: bytes shared with the suffix before it in sa, at most cap. Kasai's pass runs over many lanes in
     step, eight bytes a comparison; in a lane, a position shares at least what the one before it did, less one."""
     n = len(data)
-    before = np.full(n, -1)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    w = np.concatenate([words_of(data), np.zeros(cap + 16, np.uint64)])
+    w = words_of(np.concatenate([data, np.zeros(cap + 16, np.uint8)]))
     out = np.zeros(n, np.int32)
     run = -(-n // min(lanes, max(1, n // 64)))
     begin = np.arange(0, n, run)
@@ -170,7 +174,7 @@ def found_in(data: np.ndarray, other: np.ndarray, other_sa: np.ndarray, length:
     if not len(other) or len(data) < length:
         return out
     q = np.arange(len(data) - length + 1)
-    a, b = (np.concatenate([words_of(x), np.zeros(length + 16, np.uint64)]) for x in (data, other))
+    a, b = (words_of(np.concatenate([x, np.zeros(length + 16, np.uint8)])) for x in (data, other))
     steps = [*range(0, length - 8, 8), length - 8]
 
     def compare(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -211,50 +215,109 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
 
 
-def find_anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def find_anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART) -> DataFrame:
+    """The runs of windows that share an anchor, and a hash of the bytes that they cover."""
+
     def run(batches):
         for batch in batches:
             for lo, hi in blocks(batch.column(2)):
                 data, starts, ends = buffers(batch.column(2).slice(lo, hi - lo))
-                text, first, last, a = anchors(data, starts, ends, length, gram)
-                if len(text):
-                    raw = data.tobytes()
-                    ctx = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(first.tolist(), (last + length).tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
-                    rows = pa.array(text + lo)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first - starts[text]), pa.array(last - first + length), pa.array(a), pa.array(ctx)], ["k1", "k2", "lo", "size", "a", "ctx"])
+                for at in range(0, max(len(data) - length + 1, 1), part) if hi - lo == 1 else [0]:  # windows of a very long text, some at a time
+                    piece = data[at : at + part + length - 1] if hi - lo == 1 else data
+                    text, first, last, p, a = anchors(piece, starts, np.minimum(ends, len(piece)) if hi - lo == 1 else ends, length, gram)
+                    if len(text):
+                        raw = piece.tobytes()
+                        ctx = [xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(first.tolist(), (last + length).tolist(), strict=True)]
+                        rows = pa.array(text + lo)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first - starts[text] + at), pa.array(last - first + length), pa.array(p - starts[text] + at), pa.array(a), pa.array(ctx, pa.binary())], ["k1", "k2", "lo", "size", "p", "a", "ctx"])
 
     return docs.select("k1", "k2", "text").mapInArrow(run, ANCHORS)
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """k1, k2 and intervals [lo, hi) of bytes to remove, of the texts of keyed()."""
-    spark = docs.sparkSession
-    found, found_path = written(find_anchors(docs, length, gram), "anchors")
-    met, met_path = written(found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), "met-anchors")  # a table, so that a very common anchor's rows can be split in the join
-    shared, _ = written(found.join(met, "a", "left_semi"), "shared-anchors")
-    dropped(spark, found_path, met_path)
-    contexts = shared.groupBy("a", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "size")).alias("at"))
-    contexts, _ = written(contexts.select("a", "ctx", "n", "at.*"), "contexts")
-    whole = shared.join(contexts.where("n > 1").select("a", "ctx"), ["a", "ctx"]).select("k1", "k2", "lo", (F.col("lo") + F.col("size")).alias("hi"))
-    groups = contexts.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.ceil(F.sum("size") / shard).cast("long").alias("blocks"))
-    wanted = contexts.join(groups.where("kinds > 1 and least = 1"), "a").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "size", "a", "n", "blocks")).alias("parts"))
-    texts = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"])
+def with_parts(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """k1, k2, text and the list of its parts (the other columns of `parts`); a text has no more of them than bytes."""
+    wanted = parts.groupBy("k1", "k2").agg(F.collect_list(F.struct(*(c for c in parts.columns if c not in ("k1", "k2")))).alias("parts"))
+    return docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"])
+
 
-    def cut(batches):
+def cut_by(make, names: list[str], kinds: list[pa.DataType]):
+    """A function for mapInArrow over with_parts(): make(text's bytes, k1, k2, part) gives rows of each part."""
+
+    def run(batches):
         for batch in batches:
             for lo, hi in blocks(batch.column(2)):
                 out = []
                 for k1, k2, text, parts in zip(*(c.slice(lo, hi - lo).to_pylist() for c in batch.columns), strict=True):
                     raw = text.encode()
                     for p in parts:
-                        own = xxhash.xxh64_intdigest(f"{k1} {p['lo']}") % p["blocks"]
-                        for other in range(p["blocks"]):
-                            out.append((p["a"], min(own, other), max(own, other), own, p["n"], k1, k2, p["lo"], raw[p["lo"] : p["lo"] + p["size"]]))
+                        out += make(raw, k1, k2, p)
+                        if len(out) >= 50_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                            out = []
                 if out:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:8]), pa.array([x[8] for x in out], pa.binary())], ["a", "b1", "b2", "own", "n", "k1", "k2", "lo", "raw"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
+    return run
+
+
+def refined(docs: DataFrame, hot: DataFrame, length: int, step: int = STEP) -> tuple[DataFrame, list[str]]:
+    """Intervals of repeats of very common anchors' contexts (a, k1, k2, lo, size, p, n), and the tables behind them."""
+
+    def runs(raw: bytes, k1: int, k2: int, part: dict) -> list[tuple]:
+        out, p = [], part["p"]
+        first, last = p - part["lo"] - part["size"] + length, p - part["lo"]  # bytes before the anchor, in the last and the first window
+        for c in range(first // step, last // step + 1):
+            near, far = max(first, c * step), min(last, c * step + step - 1)
+            core = xxhash.xxh3_128_digest(raw[p - c * step : p - c * step - step + 1 + length])
+            out.append((part["a"], c, core, xxhash.xxh3_128_digest(raw[p - far : p - near + length]), near, far, k1, k2, p - far, p - near + length, part["n"]))
+        return out
+
+    names = ["a", "c", "core", "run", "near", "far", "k1", "k2", "lo", "hi", "n"]
+    kinds = [pa.binary() if x in ("core", "run") else pa.int64() for x in names]
+    schema = ", ".join(f"{x} {'binary' if t == pa.binary() else 'long'}" for x, t in zip(names, kinds, strict=True))
+    every, a = written(with_parts(docs, hot).mapInArrow(cut_by(runs, names, kinds), schema), "runs")
+    key = ["a", "c", "core"]
+    # runs that are equal as a whole, of each the least row stands for all
+    kinds_, b = written(every.groupBy(*key, "run", "near", "far").agg(F.sum("n").alias("times"), F.min(F.struct("k1", "k2", "lo")).alias("at")), "kinds-of-runs")
+    several, c = written(kinds_.groupBy(*key).agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select(*key), "cores-of-runs")
+    same = every.where("n = 1").join(kinds_.where("times > 1").select(*key, "run", "near", "far"), [*key, "run", "near", "far"]).select("k1", "k2", "lo", "hi")
+
+    def windows(raw: bytes, k1: int, k2: int, part: dict) -> list[tuple]:
+        return [(part["a"], x, xxhash.xxh3_128_digest(raw[at : at + length]), min(part["times"], 2), k1, k2, at) for x, at in zip(range(part["far"], part["near"] - 1, -1), range(part["lo"], part["lo"] + step), strict=False)]
+
+    names = ["a", "place", "window", "times", "k1", "k2", "lo"]
+    kinds = [pa.binary() if x == "window" else pa.int64() for x in names]
+    schema = ", ".join(f"{x} {'binary' if t == pa.binary() else 'long'}" for x, t in zip(names, kinds, strict=True))
+    wanted = kinds_.join(several, key, "left_semi").select("a", "near", "far", "times", "at.k1", "at.k2", "at.lo")
+    single, d = written(with_parts(docs, wanted).mapInArrow(cut_by(windows, names, kinds), schema), "windows")
+    key = ["a", "place", "window"]
+    again = single.groupBy(*key).agg(F.sum("times").alias("all"), F.min("times").alias("least")).where("all > 1 and least = 1").select(*key)
+    alone = single.where("times = 1").join(again, key).select("k1", "k2", "lo", (F.col("lo") + length).alias("hi"))
+    return same.unionByName(alone), [a, b, c, d]
+
+
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+    """k1, k2 and intervals [lo, hi) of bytes to remove, of the texts of keyed(), as a table."""
+    spark = docs.sparkSession
+    found, found_path = written(find_anchors(docs, length, gram), "anchors")
+    met, met_path = written(found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), "met-anchors")  # a table, so that a very common anchor's rows can be split in the join
+    shared, shared_path = written(found.join(met, "a", "left_semi"), "shared-anchors")
+    dropped(spark, found_path, met_path)
+    contexts = shared.groupBy("a", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "size", "p")).alias("at"))
+    contexts, contexts_path = written(contexts.select("a", "ctx", "n", "at.*"), "contexts")
+    whole = shared.join(contexts.where("n > 1").select("a", "ctx"), ["a", "ctx"]).select("k1", "k2", "lo", (F.col("lo") + F.col("size")).alias("hi"))
+    groups = contexts.groupBy("a").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.ceil(F.sum("size") / shard).cast("long").alias("blocks"))
+    groups, groups_path = written(groups.where("kinds > 1 and least = 1").select("a", "blocks"), "anchor-groups")
+    common, common_paths = refined(docs, contexts.join(groups.where(F.col("blocks") > PAIRED).select("a"), "a").drop("ctx"), length)
+    wanted = contexts.join(groups.where(F.col("blocks") <= PAIRED), "a").select("k1", "k2", "lo", "size", "a", "n", "blocks")
+
+    def cut(raw: bytes, k1: int, k2: int, p: dict) -> list[tuple]:
+        own = xxhash.xxh64_intdigest(f"{k1} {p['lo']}") % p["blocks"]
+        return [(p["a"], min(own, other), max(own, other), own, p["n"], k1, k2, p["lo"], raw[p["lo"] : p["lo"] + p["size"]]) for other in range(p["blocks"])]
+
+    names = ["a", "b1", "b2", "own", "n", "k1", "k2", "lo", "raw"]
     task = ["a", "b1", "b2"]
-    rows = texts.mapInArrow(cut, "a long, b1 long, b2 long, own long, n long, k1 long, k2 long, lo long, raw binary")
+    rows = with_parts(docs, wanted).mapInArrow(cut_by(cut, names, [*[pa.int64()] * 8, pa.binary()]), "a long, b1 long, b2 long, own long, n long, k1 long, k2 long, lo long, raw binary")
     rows = rows.repartition(max(8, shuffle_parts(spark)), *task).sortWithinPartitions(*task)
 
     def compare(batches):
@@ -266,16 +329,18 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int =
                 if pair:
                     yield from marked(part, True, length)
                     continue
-                held.append(part)
-                size += part["raw"].nbytes
-                if size >= shard:
+                if held and size + part["raw"].nbytes > shard:
                     yield from marked(pa.concat_tables(held), False, length)
                     held, size = [], 0
+                held.append(part)
+                size += part["raw"].nbytes
         if held:
             yield from marked(pa.concat_tables(held), False, length)
 
     partly = rows.mapInArrow(compare, "k1 long, k2 long, lo long, hi long")
-    return whole.unionByName(partly)
+    out, _ = written(whole.unionByName(common).unionByName(partly), "spans")
+    dropped(spark, shared_path, contexts_path, groups_path, *common_paths)
+    return out
 
 
 def tasks(group: pa.Table, shard: int) -> list[pa.Table]:
@@ -292,10 +357,10 @@ def tasks(group: pa.Table, shard: int) -> list[pa.Table]:
             out.append(group.slice(a, b - a))
             first, size = i + 1, 0
             continue
+        if size and size + sizes[i] > shard:
+            out.append(group.slice(starts[first], a - starts[first]))
+            first, size = i, 0
         size += sizes[i]
-        if size >= shard:
-            out.append(group.slice(starts[first], b - starts[first]))
-            first, size = i + 1, 0
     if first < len(starts) and size:
         out.append(group.slice(starts[first], group.num_rows - starts[first]))
     return out
@@ -361,13 +426,13 @@ def kept_bytes(text: str, parts: list[dict] | None) -> tuple[bytes, int, int]:
 def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """doc_id, text, parts (null if nothing is removed)."""
     rows = keyed(docs)
-    found, _ = written(spans(rows, length, gram, shard), "spans")
+    found = spans(rows, length, gram, shard)
     per_text = found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
     return rows.join(per_text, ["k1", "k2"], "left").select("doc_id", "text", "parts")
 
 
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the text that is left (without characters cut apart)."""
 
     def run(batches):
         for batch in batches:
@@ -376,31 +441,33 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
                 out = []
                 for text, parts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     kept, removed, n = kept_bytes(text, parts)
-                    out.append((len(kept) + removed, removed, n, hashlib.sha256(kept).hexdigest()))
-                n_bytes, n_removed, n_spans, sha = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    out.append((len(kept) + removed, removed, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+                n_bytes, n_removed, n_spans, sha, left = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return with_spans(docs, length, gram, shard).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, length, gram, shard).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """The rows of docs with what is left of their texts (a character that was cut apart goes), and n_chars to match."""
-    keys = [F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))), F.xxhash64(F.lit(7), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))]
-    found, _ = written(spans(keyed(docs), length, gram, shard), "spans")
-    per_text = found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("__parts"))
-    rows = docs.withColumn("__k1", keys[0]).withColumn("__k2", keys[1]).join(per_text.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left").select(*docs.columns, "__parts")
-    text, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = spans(keyed(docs), length, gram, shard)
+    one, two, parts_ = free_names(docs, "k1", "k2", "parts")
+    per_text = found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias(parts_)).withColumnsRenamed({"k1": one, "k2": two})
+    keyed_ = docs.withColumns({one: F.xxhash64(F.col("doc_id").cast("long"), text), two: F.xxhash64(F.lit(7), F.col("doc_id").cast("long"), text)})
+    rows = keyed_.join(per_text, [one, two], "left").select(*quoted(docs), parts_)
+    at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         for batch in batches:
-            for lo, hi in blocks(batch.column(text)):
+            for lo, hi in blocks(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
                 columns, names = part.columns[:-1], part.schema.names[:-1]
                 if part.column(part.num_columns - 1).null_count < part.num_rows:
-                    new = [t if p is None or t is None else kept_bytes(t, p)[0].decode("utf-8", "ignore") for t, p in zip(part.column(text).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)]
-                    columns[text] = pa.array(new, pa.string())
+                    new = [t if p is None or t is None else kept_bytes(t, p)[0].decode("utf-8", "ignore") for t, p in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)]
+                    columns[at] = pa.array(new, pa.string())
                     if chars is not None:
                         columns[chars] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(columns[chars].type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return mapped(rows, run, docs)
