@@ -228,13 +228,36 @@ def test_index_errors(spark):
     assert kinds[("q", "OSP_SPO_value_mismatch")] == 1 and kinds[("p", "POS_OSP_extra")] == 1 and kinds[("p", "POS_missing_object")] == 1
 
 
-def test_tuner():
-    t = maintain.Tuner()
-    sizes = [t.step(0.0002)[0] for _ in range(3)]
-    assert sizes == [64, 64, 32]
-    assert [t.step(0.0002)[0] for _ in range(2)][-1] == 64 and t.flush == 1.0  # the breaker resets
-    assert maintain.Tuner().step(0.00001, buffered=0.9)[0] == 96
-    assert maintain.Tuner().step(0.0, errors=0.06)[0] == 32
+def tuner_by_hand(ticks):
+    """The rules, tick by tick."""
+    batch, flush, total, last, bad, slow, out = 64, 1.0, 0.0, 0.0, 0, 0, []
+    for latency, errors, buffered in ticks:
+        e = latency - 0.0001
+        total += e
+        push, last = 0.5 * e + 0.1 * total + 0.3 * (e - last), e
+        bad = bad + 1 if e > 0 or errors > 0.01 else 0
+        if bad == 3 or errors > 0.05:
+            batch, bad = max(32, batch // 2), 0
+        elif push < 0 and buffered > 0.8:
+            batch = min(1024, batch + 32)
+        flush = min(2.0, flush * 1.1) if e > 0 else max(0.1, flush * 0.95)
+        slow = slow + 1 if latency > 0.00015 else 0
+        if slow == 5:
+            batch, flush, slow = 64, 1.0, 0
+        out.append((batch, round(flush, 9)))
+    return out
+
+
+def test_tuner(spark):
+    import random
+
+    rng = random.Random(1)
+    series = {"a": [(0.0002, 0.0, 0.0)] * 12, "b": [(0.00001, 0.0, 0.9)] * 40, "c": [(0.0, 0.06, 0.0)] * 4, "d": [(rng.choice([0.00005, 0.00012, 0.0002]), rng.choice([0, 0, 0, 0.02, 0.06]), rng.choice([0.5, 0.9])) for _ in range(300)]}
+    rows = [(name, i, *map(float, tick)) for name, ticks in series.items() for i, tick in enumerate(ticks)]
+    got = {}
+    for r in maintain.tuned(spark.createDataFrame(rows, "series string, tick long, latency double, errors double, buffered double")).orderBy("series", "tick").collect():
+        got.setdefault(r.series, []).append((r.batch, round(r.flush, 9)))
+    assert got == {name: tuner_by_hand(ticks) for name, ticks in series.items()}
 
 
 def test_overflow(spark):

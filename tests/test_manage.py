@@ -18,7 +18,7 @@ def test_options_and_versions():
     assert manage.option_errors("counter", {"initial": "x", "other": 1}) == ["initial is not of type int", "counter has no option other"]
     assert manage.compatible(Broken, "1.2.9") and not manage.compatible(Broken, "1.1") and manage.compatible(Counter, "0.1")
     plugins = PluginRegistry()
-    assert set(manage.discovered(plugins, ext.__name__)) == {"single_value", "accumulator", "enum"} == set(plugins.list())
+    assert set(manage.discovered(plugins, ext.__name__)) == {"single_value", "accumulator", "enum", "boolean", "bloom_filter"} == set(plugins.list())
 
 
 def test_guarded_plugins(spark):

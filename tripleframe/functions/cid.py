@@ -97,6 +97,18 @@ def from_words(*parts: Column) -> Column:
     return F.unhex(F.lpad(F.concat(*(F.lpad(F.conv(p, 10, 16), 16, "0") for p in parts)), 64, "0"))
 
 
+def of_entry(columns: list[str], prefix: str = "") -> Column:
+    """Identifier of an entry's words, whose columns may have the prefix key_ or value_: four of them, or the high and
+    the low one of the older width."""
+    four, two = ([f"{prefix}{x}" for x in names] for names in (("high", "high_mid", "low_mid", "low"), ("high", "low")))
+    return from_words(*(F.col(c).cast("string") for c in (four if set(four) <= set(columns) else two)))
+
+
+def entry_words(c: Column, prefix: str = "") -> list[Column]:
+    """The inverse of of_entry: four columns of decimal words."""
+    return [word(c, i).alias(f"{prefix}{name}") for i, name in enumerate(("high", "high_mid", "low_mid", "low"))]
+
+
 def checked(c: Column) -> Column:
     """The identifier itself; an error if it has not 32 bytes."""
     return F.when(F.length(c) == WIDTH, c).otherwise(F.raise_error(F.lit("an identifier has 32 bytes")).cast("binary"))
@@ -161,7 +173,7 @@ def bucket_of_name(name: Column) -> Column:
 
 
 # Constants of the 64-bit composite key.
-PERTURB = (13287301680950405831, (17772150785748878159 * 2 + 1) & 0xFFFFFFFFFFFFFFFF, 17772150785748878159)
+PERTURB = (13287301680950405831, 17097557497788204703, 17772150785748878159)
 KNUTH = 0x9E3779B97F4A7C15
 EVEN, ODD = 0xAAAAAAAAAAAAAAAA, 0x5555555555555555
 

@@ -18,6 +18,7 @@ def valid(term: Column) -> Column:
 
 def reason(term: Column) -> Column:
     """Why the strict form, of exactly three parts, does not hold; null if it does. The first of the checks counts."""
+    # fixed values: the texts, and the order of the checks
     parts = F.split(term, ":")
     n, (kind, namespace, label) = F.size(parts), (F.get(parts, i) for i in range(3))
     chars = "contains invalid characters (allowed: alphanumeric, underscore, hyphen)"
@@ -35,7 +36,7 @@ def reason(term: Column) -> Column:
 
 
 def suggested_plugin(name: Column) -> Column:
-    """A plugin for a predicate, from its name."""
+    """A plugin for a predicate, from its name. The parts of names and what they stand for."""
     return (
         F.when(name.contains("occursAt") | F.lower(name).contains("time"), "timeseries")
         .when(name.contains("locatedAt") | name.contains("partOf") | name.contains("geo:"), "geospatial")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tripleframe.functions.cid import Cid, rotated_key
+
 from .registry import Plugin
 
 
@@ -57,6 +59,40 @@ class Enumeration(Plugin):
         return SingleValue().fold(log.where(known) if not self.config.get("strict") else log)
 
 
+class Boolean(Enumeration):
+    """A single value that is one of two identifiers, for true and for false."""
+
+    name = "boolean"
+
+    def __init__(self, predicate=None, concurrency_limit=None, **config):
+        super().__init__(predicate, concurrency_limit, **{"allowed": [Cid.of("true"), Cid.of("false")], **config})
+
+
+class BloomFilter(Plugin):
+    """A set that is asked for membership only: bits of each subject's members, which can say yes for others at times."""
+
+    name, supports_osp, supports_pos = "bloom_filter", False, False
+
+    def fold(self, log: DataFrame) -> DataFrame:
+        return log.where("o_cid is not null").select("s", "o_cid", F.lit(None).cast("long").alias("o_int")).distinct()
+
+    def filters(self, log: DataFrame) -> DataFrame:
+        """s, slot, word: words of 64 bits that are not zero, so that a subject of any size is many rows."""
+        bits = log.where("o_cid is not null").select("s", F.explode(bloom_bits(F.col("o_cid"), self.config.get("bits", 1 << 16), self.config.get("hashes", 5))).alias("bit"))
+        return bits.groupBy("s", F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
+
+    def might_hold(self, filters: DataFrame, asked: DataFrame) -> DataFrame:
+        """s, o_cid and whether the filter may hold each asked pair."""
+        n = self.config.get("hashes", 5)
+        bits = asked.select("s", "o_cid", F.explode(bloom_bits(F.col("o_cid"), self.config.get("bits", 1 << 16), n)).alias("bit")).withColumn("slot", F.shiftright("bit", 6))
+        hit = F.coalesce(F.expr("(word & shiftleft(1L, cast(bit & 63 as int))) != 0"), F.lit(False))
+        return bits.join(filters, ["s", "slot"], "left").groupBy("s", "o_cid").agg(F.every(hit).alias("may_hold"))
+
+
+def bloom_bits(value: Column, bits: int, hashes: int) -> Column:
+    return F.array(*(F.pmod(F.xxhash64(F.lit(i), value), F.lit(bits)) for i in range(hashes)))
+
+
 def series_range(series: DataFrame, start: Column, end: Column) -> DataFrame:
     """Points (s, ts, ...) of an inclusive range of time."""
     return series.where(F.col("ts").between(start, end))
@@ -115,5 +151,33 @@ def plan_order(stats: DataFrame) -> list[bytes]:
     return [bytes(r["p"]) for r in stats.orderBy("cardinality", "p").limit(200).collect()]
 
 
+def planned_join(store, patterns: list[tuple[Cid, str, str]], stats: DataFrame) -> DataFrame:
+    """Patterns (predicate, subject's name, object's name) joined on the names they share: the most selective one first,
+    then always one that is connected, so that no step is a product while there is another."""
+    rank = {p: i for i, p in enumerate(plan_order(stats))}
+    left = sorted(patterns, key=lambda x: (rank.get(x[0].raw, len(rank)), x[1:]))
+    out, names = None, set()
+    while left:
+        at = next((i for i, (_, s, o) in enumerate(left) if not names or {s, o} & names), None)
+        if at is None:
+            raise ValueError("the patterns are not connected")
+        p, s, o = left.pop(at)
+        step = store.enumerate(p).select(F.col("s").alias(s), F.col("o_cid").alias(o))
+        out = step if out is None else out.join(step, sorted({s, o} & names))
+        names |= {s, o}
+    return out
+
+
+def rotations(triples: DataFrame, turns: dict[str, int]) -> DataFrame:
+    """key, turn, p, s, o_cid of the rotated composite keys: a triple is stored once for each order (SPO, OSP, POS),
+    and a lookup by any two terms is one equality."""
+    pairs = {"spo": ("s", "p"), "osp": ("o_cid", "s"), "pos": ("p", "o_cid")}
+    out = None
+    for name, turn in turns.items():
+        part = triples.select(rotated_key(turn)(*pairs[name]).alias("key"), F.lit(name).alias("turn"), "p", "s", "o_cid")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def sharded(predicates: DataFrame, shards: int) -> DataFrame:
     return predicates.withColumn("shard", F.pmod(F.xxhash64("p"), F.lit(shards)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripleframe.functions.cid import WIDTH
+from tripleframe.functions.cid import WIDTH, bucket, hexed
 
 #: Values that stay in an entry; more move to a value set.
 INLINE = 2
@@ -42,6 +42,14 @@ def modes(kv: DataFrame) -> DataFrame:
     return kv.groupBy("key").agg(F.countDistinct("value").alias("n_values")).withColumn("mode", F.when(F.col("n_values") <= INLINE, "inline").otherwise("spill"))
 
 
+def entries(kv: DataFrame, depth: int) -> DataFrame:
+    """key, bucket_id, entries, slots (values in slot order, as hex) and has_set of every entry, for looking at stores;
+    a value set with very many values is one row here."""
+    slots = F.transform(F.sort_array(F.collect_list(F.struct("ht", "value"))), lambda x: hexed(x["value"]))
+    found = kv.groupBy("key").agg(F.count("*").alias("entries"), F.concat_ws(",", slots).alias("slots"))
+    return found.select(bucket(F.col("key"), depth).alias("bucket_id"), "key", "entries", "slots", (F.col("entries") > INLINE).alias("has_set"))
+
+
 def tombstones(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(F.count_if(F.col("op") == "DELETE").alias("tombstones"))
 

@@ -119,6 +119,7 @@ def merge_decisions(scores: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def insights(scores: DataFrame, least: float = 0.5) -> DataFrame:
     """Buckets in danger with what to do about them."""
+    # fixed values: the advice of each tier
     score = F.format_string("%.1f", "danger")
     what = (
         F.when(F.col("danger") > 10, F.concat(F.lit("Critical danger (score: "), score, F.lit(") - immediate split recommended")))
@@ -147,41 +148,74 @@ def sorted_regions(kv: DataFrame, sorted_count: int) -> DataFrame:
     return kv.withColumn("sorted", F.row_number().over(W.partitionBy("bucket_id").orderBy("ht")) <= sorted_count)
 
 
-@dataclass
-class Tuner:
-    """Batch size and flush interval by a proportional, integral and derivative term of the latency's error."""
-
-    batch: int = 64
-    flush: float = 1.0
-    integral: float = 0.0
-    before: float = 0.0
-    strikes: int = 0
-    slow: int = 0
-    target: float = 0.0001
-
-    def step(self, latency: float, errors: float = 0.0, buffered: float = 0.0) -> tuple[int, float]:
-        error = latency - self.target
-        self.integral += error
-        push = 0.5 * error + 0.1 * self.integral + 0.3 * (error - self.before)
-        self.before = error
-        self.strikes = self.strikes + 1 if error > 0 or errors > 0.01 else 0
-        if self.strikes >= 3 or errors > 0.05:
-            self.batch, self.strikes = max(32, self.batch // 2), 0
-        elif push < 0 and buffered > 0.8:
-            self.batch = min(1024, self.batch + 32)
-        self.flush = min(2.0, self.flush * 1.1) if error > 0 else max(0.1, self.flush * 0.95)
-        self.slow = self.slow + 1 if latency > 0.00015 else 0
-        if self.slow >= 5:
-            self.batch, self.flush, self.slow = 64, 1.0, 0
-        return self.batch, self.flush
+# Fixed values of the batch tuner: weights of its terms, targets, limits and steps.
+WEIGHTS = {"error": 0.5, "sum": 0.1, "change": 0.3}
+TARGET, TOO_SLOW, SLOW_TICKS = 0.0001, 0.00015, 5
+SOME_ERRORS, MANY_ERRORS, BAD_TICKS = 0.01, 0.05, 3
+START_BATCH, LEAST_BATCH, MOST_BATCH, STEP_BATCH, FULL_BUFFER = 64, 32, 1024, 32, 0.8
+START_FLUSH, LEAST_FLUSH, MOST_FLUSH, LONGER, SHORTER = 1.0, 0.1, 2.0, 1.1, 0.95
 
 
-def tuned(metrics: DataFrame) -> DataFrame:
-    """The tuner over (series, tick, latency, errors, buffered), each series in its own order."""
+def tuner_events(metrics: DataFrame) -> DataFrame:
+    """What each tick (series, tick, latency, errors, buffered) does to the batch size, by windows: halve, grow, or
+    start over. A third bad tick in a row halves and begins a new row of them, as does one with many errors; a fifth
+    slow one in a row starts over. Rows are told apart by running counts of what ends them."""
+    time = W.partitionBy("series").orderBy("tick")
+    before = time.rowsBetween(W.unboundedPreceding, -1)
+    error = F.col("latency") - TARGET
+    push = WEIGHTS["error"] * error + WEIGHTS["sum"] * F.sum(error).over(time.rowsBetween(W.unboundedPreceding, 0)) + WEIGHTS["change"] * (error - F.coalesce(F.lag(error).over(time), F.lit(0.0)))
+    many, bad, slow = F.col("errors") > MANY_ERRORS, (error > 0) | (F.col("errors") > SOME_ERRORS), F.col("latency") > TOO_SLOW
+    rows = metrics.withColumns({"late": error > 0, "push": push, "many": many, "bad": bad, "slow": slow})
+    rows = rows.withColumns({"bad_row": F.coalesce(F.sum((~F.col("bad") | F.col("many")).cast("int")).over(before), F.lit(0)), "slow_row": F.coalesce(F.sum((~F.col("slow")).cast("int")).over(before), F.lit(0))})
+    nth = lambda row: F.row_number().over(W.partitionBy("series", row).orderBy("tick"))
+    halves = F.col("many") | F.col("bad") & (nth("bad_row") % BAD_TICKS == 0)
+    rows = rows.withColumns({"halves": halves, "over": F.col("slow") & (nth("slow_row") % SLOW_TICKS == 0)})
+    return rows.select("series", "tick", "late", "halves", (~F.col("halves") & (F.col("push") < 0) & (F.col("buffered") > FULL_BUFFER)).alias("grows"), "over")
 
-    def run(rows):
-        tuner, rows = Tuner(), rows.sort_values("tick")
-        out = [tuner.step(*x) for x in rows[["latency", "errors", "buffered"]].itertuples(index=False)]
-        return rows[["series", "tick"]].assign(batch=[b for b, _ in out], flush=[f for _, f in out])
 
-    return metrics.groupBy("series").applyInPandas(run, "series string, tick long, batch int, flush double")
+def tuned(metrics: DataFrame) -> DataFrame:
+    """series, tick, batch, flush after each tick. Starting over parts a series into stretches that do not depend on
+    each other; a stretch is folded as one array, so its ticks are one row."""
+    rows = tuner_events(metrics)
+    stretch = F.coalesce(F.sum(F.col("over").cast("int")).over(W.partitionBy("series").orderBy("tick").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ticks = rows.withColumn("stretch", stretch).groupBy("series", "stretch").agg(F.sort_array(F.collect_list(F.struct("tick", "late", "halves", "grows", "over"))).alias("ticks"))
+    start = F.struct(F.lit(START_BATCH).alias("batch"), F.lit(START_FLUSH).alias("flush"), F.expr("cast(array() as array<struct<tick: bigint, batch: int, flush: double>>)").alias("out"))
+
+    def step(state, tick):
+        batch = F.when(tick["halves"], F.greatest(F.lit(LEAST_BATCH), F.floor(state["batch"] / 2).cast("int"))).when(tick["grows"], F.least(F.lit(MOST_BATCH), state["batch"] + STEP_BATCH)).otherwise(state["batch"])
+        flush = F.when(tick["late"], F.least(F.lit(MOST_FLUSH), state["flush"] * LONGER)).otherwise(F.greatest(F.lit(LEAST_FLUSH), state["flush"] * SHORTER))
+        batch, flush = F.when(tick["over"], START_BATCH).otherwise(batch), F.when(tick["over"], START_FLUSH).otherwise(flush)
+        return F.struct(batch.alias("batch"), flush.alias("flush"), F.array_append(state["out"], F.struct(tick["tick"].alias("tick"), batch.alias("batch"), flush.alias("flush"))).alias("out"))
+
+    return ticks.select("series", F.explode(F.aggregate("ticks", start, step, lambda s: s["out"])).alias("t")).select("series", "t.tick", "t.batch", "t.flush")
+
+
+def pointers_after_split(directory: DataFrame, depth: int, old: int, new: int, local_depth: int) -> DataFrame:
+    """The directory (index, bucket_id) of 2**depth pointers after bucket `old` was split to `local_depth` bits: pointers
+    whose next bit is set go to `new`."""
+    bit = F.shiftright("index", depth - local_depth).bitwiseAND(F.lit(1).cast("long")) if depth >= local_depth else F.lit(0)
+    return directory.select("index", F.when((F.col("bucket_id") == old) & (bit == 1), new).otherwise(F.col("bucket_id")).cast("long").alias("bucket_id"))
+
+
+def adaptive_trigger(scores: DataFrame, stats: DataFrame, least: float = 0.5) -> DataFrame:
+    """Buckets that insights name and that hold half a split's entries: they are tried for a split, which still needs
+    all of them."""
+    named = scores.where(F.col("danger") >= least).select("bucket_id", "danger")
+    return stats.join(named, "bucket_id").where(F.col("entry_count") >= max(SPLIT // 2, FLOOR)).select("bucket_id", "entry_count", (F.col("entry_count") >= SPLIT).alias("splits"))
+
+
+def maintenance_cycle(kv: DataFrame, scores: DataFrame, bucket: Column, depth: int, config: MaintenanceConfig | None = None) -> DataFrame:
+    """step, action, bucket_id, entry_count of one cycle over entries (key, sorted): sort buckets with more unsorted
+    entries than the threshold, split those that the adaptive trigger finds full, merge buddies with few."""
+    config = config or MaintenanceConfig()
+    entries = kv.withColumn("bucket_id", bucket.cast("long")).groupBy("bucket_id").agg(F.count("*").alias("entry_count"), F.count_if(~F.col("sorted")).alias("unsorted"))
+    sort = entries.where(F.col("unsorted") > config.sort_threshold).select(F.lit(1).alias("step"), F.lit("sort").alias("action"), "bucket_id", "entry_count")
+    split = adaptive_trigger(scores, entries).where("splits").select(F.lit(2).alias("step"), F.lit("split").alias("action"), "bucket_id", "entry_count")
+    merge = merge_plan(entries, depth, config.merge_threshold).select(F.lit(3).alias("step"), F.lit("merge").alias("action"), "bucket_id", "entry_count")
+    return sort.unionByName(split).unionByName(merge)
+
+
+def recommendations(scores: DataFrame, history: DataFrame, least: float = 0.5) -> DataFrame:
+    """One row: buckets in high danger (the first five by name), whether to run, and whether operations are sequential."""
+    high = scores.where(F.col("danger") > least).agg(F.count("*").alias("buckets"), F.slice(F.sort_array(F.collect_list(F.col("bucket_id").cast("string"))), 1, 5).alias("first"))
+    return high.crossJoin(F.broadcast(is_sequential(history))).select("buckets", F.concat_ws(",", "first").alias("first"), (F.col("buckets") > 0).alias("should_run"), "sequential")

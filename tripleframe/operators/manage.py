@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -84,15 +85,48 @@ class Guarded:
     def disabled(self) -> bool:
         return len(self.errors) > self.most
 
-    def fold(self, rows: DataFrame) -> DataFrame:
+    def fold(self, rows: DataFrame, checked: bool = False) -> DataFrame:
+        """The plugin's fold. Frames are lazy, so what fails while rows are read shows only later; with `checked` the
+        fold runs once here, which counts such a failure, too."""
         empty = rows.select("s", F.lit(None).cast("binary").alias("o_cid"), F.lit(None).cast("long").alias("o_int")).where("false")
         if self.disabled:
             return empty
         try:
-            return self.plugin.fold(rows)
+            made = self.plugin.fold(rows)
+            if checked:
+                made.write.format("noop").mode("overwrite").save()
+            return made
         except Exception as e:
             self.errors.append(str(e))
             if self.mode == "raise":
                 raise
             log.warning("plugin %s: %s", self.plugin.name, e)
             return empty
+
+
+@dataclass
+class Migrations:
+    """Ways from one version of a plugin to a later one, as functions of a frame; several are run one after another."""
+
+    steps: dict[tuple[str, str, str], Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
+
+    def add(self, plugin: str, old: str, new: str, step: Callable[[DataFrame], DataFrame]) -> None:
+        self.steps[plugin, old, new] = step
+
+    def way(self, plugin: str, old: str, new: str) -> list[tuple[str, str, str]]:
+        """The shortest chain of steps, breadth first."""
+        reached, open_ = {old: []}, [old]
+        while open_:
+            at = open_.pop(0)
+            for step in sorted(self.steps):
+                if step[0] == plugin and step[1] == at and step[2] not in reached:
+                    reached[step[2]] = [*reached[at], step]
+                    open_.append(step[2])
+        if new not in reached:
+            raise ValueError(f"no way from {plugin} {old} to {new}")
+        return reached[new]
+
+    def run(self, triples: DataFrame, plugin: str, old: str, new: str) -> DataFrame:
+        for step in self.way(plugin, old, new):
+            triples = self.steps[step](triples)
+        return triples

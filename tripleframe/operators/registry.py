@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import warnings
 from abc import ABC, abstractmethod
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripleframe.errors import InvalidTermError, PredicateLimitExceededError
@@ -59,13 +61,27 @@ class Counter(Plugin):
 
 
 class MultiValueSet(Plugin):
-    """Any number of identifiers a subject, each once."""
+    """Any number of identifiers a subject, each once. Options: symmetric (a member has its subject as a member, too),
+    max_size (the first members of a subject stay), deduplication (False: as often as it was inserted)."""
 
     name, supports_osp, supports_pos = "multivalue_set", True, True
 
     def fold(self, log: DataFrame) -> DataFrame:
         rows = log.where("o_cid is not null")
-        kept = rows.select("s", "o_cid").distinct() if "op" not in log.columns else rows.groupBy("s", "o_cid").agg(F.max_by("op", "ord").alias("op")).where("op = 'INSERT'")
+        if self.config.get("symmetric"):
+            rows = rows.unionByName(rows.withColumns({"s": F.col("o_cid"), "o_cid": F.col("s")}))
+        most = self.config.get("max_size")
+        if "op" not in log.columns:
+            kept = rows.select("s", "o_cid") if self.config.get("deduplication") is False else rows.select("s", "o_cid").distinct()
+        else:
+            first = F.min(F.when(F.col("op") == "INSERT", F.col("ord"))).alias("first")
+            pairs = rows.groupBy("s", "o_cid").agg(F.max_by("op", "ord").alias("op"), F.max(F.when(F.col("op") == "DELETE", F.col("ord"))).alias("gone"), first).where("op = 'INSERT'")
+            kept = pairs
+            if self.config.get("deduplication") is False:
+                kept = rows.where("op = 'INSERT'").join(pairs.select("s", "o_cid", "gone"), ["s", "o_cid"]).where("gone is null or ord > gone").withColumn("first", F.col("ord"))
+        if most is not None:
+            place = F.row_number().over(W.partitionBy("s").orderBy(*(["first"] if "first" in kept.columns else []), "o_cid"))
+            kept = kept.withColumn("place", place).where(F.col("place") <= most)
         return kept.select("s", "o_cid", F.lit(None).cast("long").alias("o_int"))
 
     def audit(self, triples: DataFrame) -> DataFrame:
@@ -180,16 +196,29 @@ class Registry:
         return {"violations": missing, "warnings": [f"{len(self.entries)} predicates reach the limit of {LIMIT}"] if len(self.entries) >= LIMIT else []}
 
     def validate(self, config: dict[str, dict]) -> list[str]:
-        """Errors of a configuration by predicate name."""
-        out = []
-        for name, spec in config.items():
-            if not re.match(terms.LENIENT, name):
-                out.append(f"Invalid term: {name}")
-            if ALIASES.get(spec.get("plugin"), spec.get("plugin")) not in self.plugins.list():
-                out.append(f"Unknown plugin '{spec.get('plugin')}' for predicate {name}")
-            if "performance_baseline" not in spec:
-                out.append(f"Missing performance baseline for {name}")
-        return out + ([f"{len(config)} predicates exceed the limit of {LIMIT}"] if len(config) > LIMIT else [])
+        """Errors of a configuration by predicate name, by the rules below, and of its size."""
+        rules = {
+            "Invalid term: {name}": lambda name, spec: re.match(terms.LENIENT, name),
+            "Unknown plugin '{plugin}' for predicate {name}": lambda name, spec: self.plugins.get(ALIASES.get(spec.get("plugin"), spec.get("plugin"))),
+            "Missing performance baseline for {name}": lambda name, spec: "performance_baseline" in spec,
+        }
+        broken = [text.format(name=name, plugin=spec.get("plugin")) for name, spec in config.items() for text, holds in rules.items() if not holds(name, spec)]
+        return broken + [f"{len(config)} predicates exceed the limit of {LIMIT}"] * (len(config) > LIMIT)
+
+    def saved(self) -> str:
+        """All of the registry but its plugins' classes, as JSON."""
+        entries = [{"cid": e.cid.hex, "plugin": e.plugin.name, "name": e.name, "justification": e.justification, "limit": e.plugin.concurrency_limit, "config": e.plugin.config} for e in self.entries.values()]
+        return json.dumps({"entries": entries, "ontology": self.ontology}, default=lambda x: {"cid": x.hex} if isinstance(x, Cid) else str(x), sort_keys=True)
+
+    def restore(self, text: str) -> Registry:
+        """Puts the entries of saved() in place of its own; plugins must be known by name."""
+        found = json.loads(text, object_hook=lambda x: Cid(bytes.fromhex(x["cid"])) if set(x) == {"cid"} else x)
+        self.entries = {}
+        for e in found["entries"]:
+            key = Cid(bytes.fromhex(e["cid"]))
+            self.entries[key] = Predicate(key, self.plugins.create(e["plugin"], key, concurrency_limit=e["limit"], **e["config"]), e["name"], e["justification"])
+        self.ontology = found["ontology"]
+        return self
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [

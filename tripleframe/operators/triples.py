@@ -114,6 +114,11 @@ class Transaction:
         self.pending = []
 
 
+def transaction_stats(log: DataFrame) -> DataFrame:
+    """txn, operations and deletes of a log whose rows carry their transaction."""
+    return log.groupBy("txn").agg(F.count("*").alias("operations"), F.count_if(F.col("op") == "DELETE").alias("deletes"))
+
+
 def slots(kv: DataFrame) -> DataFrame:
     """Each distinct value of a key with its slot, in order of arrival."""
     first = kv.groupBy("key", "value").agg(F.min("ht").alias("ht"))

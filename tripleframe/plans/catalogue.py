@@ -5,8 +5,6 @@ Identifiers leave queries as lower-case hex. Queries without SQL are those of bi
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +14,7 @@ from tripleframe.functions import cid as C
 from tripleframe.functions import terms
 from tripleframe.functions.cid import Cid
 from tripleframe.operators import audit, ext, kv, maintain, migrate, triples
+from tripleframe.operators.registry import MultiValueSet
 from tripleframe.plans.query import Pattern
 from tripleframe.sources import graph, log, tables, wire
 from tripleframe.streaming import apply as streams
@@ -266,15 +265,17 @@ def kv_slot_position(spark, sf_dir):
 
 @query(f"select key, value, line from ({PARTS})")
 def kv_insert_dedup(spark, sf_dir):
-    return edges(order_parts(spark, sf_dir).withColumnRenamed("ht", "line"))
+    """Every line inserts its part; the first line of an order and part is the one that stays."""
+    rows = read(spark, sf_dir, "lineitem").select(F.lit("INSERT").alias("op"), F.col("l_linenumber").alias("ht"), graph.named("order", "l_orderkey").alias("key"), graph.named("part", "l_partkey").alias("value"))
+    return edges(kv.fold(kv.inserted(rows)).withColumnRenamed("ht", "line"))
 
 
 @query(SQL_LOG + ", k as (select key, max((nanos, seq)) as cleared from log where value is null group by 1) select distinct log.key from log join k on k.key = log.key group by log.key, cleared having max((nanos, seq)) filter (op = 'INSERT') is null or max((nanos, seq)) filter (op = 'INSERT') < cleared")
 def kv_delete_key(spark, sf_dir):
+    """Keys that were deleted as a whole and have no value since, not even one that a later delete removed."""
     rows = mutations(spark, sf_dir)
-    cleared = rows.where("value is null").groupBy("key").agg(F.max("ht").alias("cleared"))
-    last = rows.where("op = 'INSERT'").groupBy("key").agg(F.max("ht").alias("last"))
-    return edges(cleared.join(last, "key", "left").where("last is null or last < cleared").select("key"))
+    whole = rows.where("value is null or op = 'INSERT'")  # without the deletes of single pairs
+    return edges(rows.where("value is null").select("key").distinct().join(kv.fold(whole), "key", "left_anti"))
 
 
 @query(SQL_LOG + "select distinct key, value from log where value is not null and op = 'INSERT' except select key, value from (" + SQL_FOLD + " select key, value from kv)")
@@ -298,14 +299,8 @@ def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(store.withColumn("there", F.lit(True)), ["key", "value"], "left").select("o_orderkey", F.coalesce("there", F.lit(False)).alias("found"))
 
 
-@query("select o_orderkey, o_orderpriority = '1-URGENT' as found from orders where o_orderkey % 10 = 0")
-def kv_composite_probe(spark, sf_dir):
-    """A tenth of kv_composite_probe_all."""
-    return probed(spark, sf_dir).where("o_orderkey % 10 = 0")
-
-
 @query("select o_orderkey, o_orderpriority = '1-URGENT' as found from orders")
-def kv_composite_probe_all(spark, sf_dir):
+def kv_composite_probe(spark, sf_dir):
     return probed(spark, sf_dir)
 
 
@@ -314,7 +309,7 @@ def kv_composite_probe_all(spark, sf_dir):
 
 def pattern(name: str, sql: str, p: Pattern):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return edges(graph.store(spark, sf_dir).query(p))
+        return edges(graph.stored(spark, sf_dir).query(p))
 
     run.__name__ = name
     query(sql)(run)
@@ -338,12 +333,12 @@ pattern("q_full_scan_empty", FACTS + f"select {EDGE} from t where false", Patter
 @query(FACTS + f"select {EDGE} from t where o_cid = {sql_cid('nation', 3)} and s in (select sha256('E:cust:' || c_custkey) from customer where c_mktsegment = 'BUILDING')")
 def q_o_subject_filter(spark, sf_dir):
     subjects = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(graph.named("cust", "c_custkey").alias("s"))
-    return edges(graph.store(spark, sf_dir).by_object(cid_of("nation", 3), subjects))
+    return edges(graph.stored(spark, sf_dir).by_object(cid_of("nation", 3), subjects))
 
 
 def access(name: str, sql: str, p: Pattern):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return edges(graph.store(spark, sf_dir).query_triple(p))
+        return edges(graph.stored(spark, sf_dir).query_triple(p))
 
     run.__name__ = name
     query(sql)(run)
@@ -356,17 +351,17 @@ access("qt_pos", FACTS + f"select s from t where name = 'R:evt:did' and o_cid =
 
 @query(FACTS + f"select s, p from t where o_cid = {sql_cid('region', 1)}")
 def qt_osp_all(spark, sf_dir):
-    return edges(graph.store(spark, sf_dir).by_object_all(cid_of("region", 1)))
+    return edges(graph.stored(spark, sf_dir).by_object_all(cid_of("region", 1)))
 
 
 @query(FACTS + f"select s from t where name = 'R:tpch:inNation' and o_cid = {sql_cid('nation', 3)}")
 def q_pos(spark, sf_dir):
-    return edges(graph.store(spark, sf_dir).by_value(NATION, cid_of("nation", 3)))
+    return edges(graph.stored(spark, sf_dir).by_value(NATION, cid_of("nation", 3)))
 
 
 @query(FACTS + f"select o_cid, o_int from t where name = 'R:evt:lastValue' and s in ({sql_cid('user', USER)}, sha256('E:nobody:1'))")
 def get_triple(spark, sf_dir):
-    store = graph.store(spark, sf_dir)
+    store = graph.stored(spark, sf_dir)
     return edges(store.get_triple(cid_of("user", USER), LAST).unionByName(store.get_triple(Cid.of("E:nobody:1"), LAST)))
 
 
@@ -455,7 +450,7 @@ def delete_existed(spark, sf_dir):
 
 @query(SQL_LOG + "select txn, count(*) as operations, count(*) filter (op = 'DELETE') as deletes from log group by 1")
 def txn_stats(spark, sf_dir):
-    return mutations(spark, sf_dir).groupBy("txn").agg(F.count("*").alias("operations"), F.count_if(F.col("op") == "DELETE").alias("deletes"))
+    return triples.transaction_stats(mutations(spark, sf_dir))
 
 
 @query(SQL_LOG + "select txn, key, value, nanos, seq, op from log where txn % 10 <> 3")
@@ -479,24 +474,86 @@ def wire_commands(spark, sf_dir):
     return edges(wire.mutations(wire.commands(lines)).select("ord", "op", "key", "value"))
 
 
+BATCHES = """select n_nationkey as ord, 'BATCH_' || case when n_nationkey % 3 = 0 then 'DELETE' else 'INSERT' end as command, c_custkey, n_regionkey from customer join nation on n_nationkey = c_nationkey"""
+
+
+@query(f"select ord::bigint as ord, replace(command, 'BATCH_', '') as op, sha256('E:cust:' || c_custkey) as key, sha256('E:region:' || n_regionkey) as value from ({BATCHES})")
+def wire_batches(spark, sf_dir):
+    """A batch command for each nation, with a triple for each customer; every third is a BATCH_DELETE."""
+    rows = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = lambda c: F.concat(F.lit("E("), F.concat_ws(",", *C.words(c)), F.lit(")"))
+    triple = F.struct(text(graph.named("cust", "c_custkey")).alias("s"), text(PLACED.lit).alias("p"), C.hexed(graph.named("region", "n_regionkey")).alias("o"))
+    command = F.when(F.col("n_nationkey") % 3 == 0, "batch_delete").otherwise("BATCH_INSERT")
+    lines = rows.groupBy(F.col("n_nationkey").cast("long").alias("ord"), command.alias("command")).agg(F.collect_list(triple).alias("triples"))
+    return edges(wire.mutations(wire.commands(lines.select("ord", F.to_json(F.struct("command", "triples")).alias("value")))).select("ord", "op", "key", "value"))
+
+
+@query(f"select user_id as ord, sha256('E:user:' || user_id) as key, coalesce(string_agg(value, ',' order by value), '') as found from (select distinct user_id from events) u left join ({SQL_FOLD} select key, value from kv) on key = sha256('E:user:' || user_id) group by 1")
+def wire_lookup(spark, sf_dir):
+    """LOOKUP of every user, of odd ones by the older clients' QUERY with a subject."""
+    users = read(spark, sf_dir, "events").select("user_id", C.hexed(graph.named("user", "user_id")).alias("k")).distinct()
+    odd = F.col("user_id") % 2 == 1
+    lines = users.select(F.col("user_id").alias("ord"), F.to_json(F.struct(F.when(odd, "query").otherwise("LOOKUP").alias("command"), F.when(~odd, F.col("k")).alias("key"), F.when(odd, F.col("k")).alias("s"))).alias("value"))
+    return edges(wire.lookups(wire.commands(lines), kv.fold(mutations(spark, sf_dir))).select("ord", "key", F.concat_ws(",", "values").alias("found")))
+
+
+@query(f"{SQL_FOLD} select cast(cast('0x' || substr(key, 1, 16) as ubigint) >> 60 as bigint) as bucket_id, key, count(*) as entries, string_agg(value, ',' order by nanos, seq, value) as slots, count(*) > 2 as has_set from kv group by key")
+def kv_entries(spark, sf_dir):
+    """Each entry as a debug record: its bucket, its values in slot order, and whether it has a value set."""
+    return edges(kv.entries(kv.fold(mutations(spark, sf_dir)), 4))
+
+
+@query(f"{SQL_FOLD} select key, value, nanos, seq from kv where key = sha256('E:user:7')")
+def kv_compact_key(spark, sf_dir):
+    """One key's mutations, without what later ones undid, folded again."""
+    rows = mutations(spark, sf_dir).where(F.col("key") == cid_of("user", 7).lit)
+    return flat(kv.fold(kv.compacted(rows)))
+
+
+@query("select count(*) filter (o_text in ('12', '-3')) as inserted, count(*) filter (o_text not in ('12', '-3')) as failed from (select case l_linenumber % 4 when 0 then '12' when 1 then '-3' when 2 then 'many' else '1.5x' end as o_text from lineitem)")
+def counter_coercion(spark, sf_dir):
+    """Counters take texts that are whole numbers; others fail."""
+    text = F.element_at(F.array(F.lit("12"), F.lit("-3"), F.lit("many"), F.lit("1.5x")), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord"), graph.named("order", "l_orderkey").alias("s"), LINES.lit.alias("p"), F.lit(None).cast("binary").alias("o_cid"), text.alias("o_text"), F.lit(None).cast("long").alias("o_int"))
+    return triples.batch_stats(rows, graph.registry().frame(spark)).select("inserted", "failed")
+
+
+@query("select count(*) filter (l_linenumber % 2 = 0) as inserted, count(*) filter (l_linenumber % 2 = 1) as failed from lineitem")
+def set_object_guard(spark, sf_dir):
+    """Set members are identifiers; texts fail."""
+    even = F.col("l_linenumber") % 2 == 0
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ord"), graph.named("order", "l_orderkey").alias("s"), PART.lit.alias("p"), F.when(even, graph.named("part", "l_partkey")).alias("o_cid"), F.when(~even, "text").alias("o_text"), F.lit(None).cast("long").alias("o_int"))
+    return triples.batch_stats(rows, graph.registry().frame(spark)).select("inserted", "failed")
+
+
+@query("select c_custkey, sha256(c_name) as cid, lpad(substr(sha256(c_name), 1, 16) || substr(sha256(c_name), 49, 16), 64, '0') as short from customer")
+def entry_codec(spark, sf_dir):
+    """Identifiers from the words of entries: four with a prefix, and two of the older width."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", C.cid(F.col("c_name")).alias("cid"))
+    held = rows.select("c_custkey", *C.entry_words(F.col("cid"), "key_"))
+    old = held.withColumnsRenamed({"key_high": "value_high", "key_low": "value_low"}).drop("key_high_mid", "key_low_mid")
+    short = old.select("c_custkey", C.of_entry(old.columns, "value_").alias("short"))
+    return edges(held.select("c_custkey", C.of_entry(held.columns, "key_").alias("cid")).join(short, "c_custkey"))
+
+
 # Audits and re-typing -------------------------------------------------------------------------------------------
 
 
 @query(FACTS + "select name, count(*) as counter_count, count(distinct o_int) as unique_values, round(avg(o_int), 6) as avg_value, cast(sum(o_int) as bigint) as sum_value, max(o_int) as max_value from t where plugin = 'counter' group by 1")
 def audit_counter(spark, sf_dir):
-    found = audit.counters(graph.store(spark, sf_dir).everything())
+    found = audit.counters(graph.stored(spark, sf_dir).everything())
     return found.join(F.broadcast(graph.registry().frame(spark).select("p", "name")), "p").select("name", "counter_count", "unique_values", F.round("avg_value", 6).alias("avg_value"), "sum_value", "max_value")
 
 
 @query(FACTS + "select name, count(distinct s) as set_count, count(*) as total_values, round(count(*) / count(distinct s), 6) as avg_set_size, count(distinct o_cid) as unique_objects from t where plugin = 'multivalue_set' group by 1")
 def audit_set(spark, sf_dir):
-    found = audit.sets(graph.store(spark, sf_dir).everything())
+    found = audit.sets(graph.stored(spark, sf_dir).everything())
     return found.join(F.broadcast(graph.registry().frame(spark).select("p", "name")), "p").select("name", "set_count", "total_values", F.round("avg_set_size", 6).alias("avg_set_size"), "unique_objects")
 
 
 @query(FACTS + "select plugin, count(*) as predicates, cast(sum(n) as bigint) as data_points from (select name, plugin, count(distinct s) as n from t group by 1, 2) group by 1")
 def audit_all(spark, sf_dir):
-    return audit.everything(graph.store(spark, sf_dir).everything(), graph.registry().frame(spark))
+    return audit.everything(graph.stored(spark, sf_dir).everything(), graph.registry().frame(spark))
 
 
 @query(FACTS + "select distinct name from t where name not in ('R:tpch:placedBy', 'R:evt:did')")
@@ -504,34 +561,64 @@ def audit_ontology(spark, sf_dir):
     return audit.unjustified(graph.registry("R:tpch:placedBy", "R:evt:did").frame(spark))
 
 
-def indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = graph.store(spark, sf_dir)._of([NATION, LINES])
-    return rows.select("p", "s", F.coalesce(C.hexed(F.col("o_cid")), F.col("o_int").cast("string")).alias("o"), F.col("o_int").isNotNull().alias("counter"))
+def indices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SPO and OSP as read back from the stored layouts; POS is the object layout, too, whose folders are predicates."""
+    path = graph.stored(spark, sf_dir).stored
+    spo, osp = (audit.orders(tables.load_triples(spark, path, layout))[0] for layout in ("spo", "osp"))
+    return spo, osp, osp
 
 
 @query("select 'x' as p, 'x' as type, cast(0 as bigint) as errors where false")
 def audit_indices_clean(spark, sf_dir):
-    rows = indices(spark, sf_dir)
-    return edges(audit.consistency(rows, rows, rows))
-
-
-SQL_INDEX = FACTS + """, a as (select name, p, s, coalesce(o_cid, cast(o_int as varchar)) as o, plugin = 'counter' as counter from t where name in ('R:tpch:inNation', 'R:tpch:lineCount')),
-spo as (select * from a where substr(s, 1, 1) <> '0'), osp as (select * from a where substr(s, 1, 1) <> '1'), pos as (select * from a where substr(s, 1, 1) not in ('2', '1') and o <> '3')
-, e as (
- select p, 'SPO_OSP_mismatch' as type from spo where substr(s, 1, 1) = '1'
- union all select p, 'OSP_SPO_missing' from osp where substr(s, 1, 1) = '0' and (p, s) not in (select (p, s) from spo)
- union all select p, 'OSP_SPO_mismatch' from osp where substr(s, 1, 1) = '0' and (p, s) in (select (p, s) from spo)
- union all select distinct_.p, 'POS_OSP_missing' from (select distinct p, o from (select p, o, s from osp except select p, o, s from pos) where (p, o) in (select (p, o) from pos)) distinct_
- union all select p, 'POS_missing_object' from (select distinct p, o from osp) x where (p, o) not in (select (p, o) from pos))
+    return edges(audit.consistency(*indices(spark, sf_dir)))
+
+
+@query(FACTS + """, i as (select name, s, coalesce(o_cid, cast(o_int as varchar)) as o from t) select count(distinct name) as predicates_registered, count(distinct (name, s)) as total_spo_entries,
+ count(distinct (name, o)) as total_osp_entries, count(distinct (name, o)) as total_pos_entries from i""")
+def audit_index_stats(spark, sf_dir):
+    return audit.index_stats(*indices(spark, sf_dir), graph.registry().frame(spark))
+
+
+SQL_INDEX = FACTS + """, a as (select name, p, s, coalesce(o_cid, cast(o_int as varchar)) as o, plugin = 'counter' as counter, substr(s, 1, 1) as f from t),
+spo as (select p, s, case when f = '5' and counter then '-1' else o end as o, counter from a where f <> '0'),
+osp as (select p, s, o from a where f <> '1' union all select p, null, 'none' from a where name = 'R:tpch:inRegion' group by p),
+pos as (select p, case when f = '4' then 'y' else o end as o, s from a where f not in ('1', '2') and o <> '3' union all select p, 'none', null from a where name = 'R:tpch:inRegion' group by p)
+, so as (select distinct p, s, o from spo), os as (select distinct p, s, o from osp where s is not null), po as (select distinct p, s, o from pos where s is not null), e as (
+ select so.p, 'SPO_OSP_mismatch' as type from so anti join os using (p, s, o)
+ union all select p, 'invalid_OSP_structure' from osp where s is null
+ union all select x.p, case when h.p is null then 'OSP_SPO_missing' when h.counter then 'OSP_SPO_value_mismatch' else 'OSP_SPO_mismatch' end from (select * from os anti join so using (p, s, o)) x left join (select p, s, bool_or(counter) as counter from spo group by 1, 2) h on h.p = x.p and h.s = x.s
+ union all select p, 'POS_OSP_extra' from (select distinct p, o from po anti join os using (p, s, o))
+ union all select p, 'POS_OSP_missing' from (select distinct p, o from os anti join po using (p, s, o)) semi join pos using (p, o)
+ union all select p, 'POS_missing_object' from (select distinct p, o from osp) anti join pos using (p, o))
 """
 
 
 @query(SQL_INDEX + "select p, type, count(*) as errors from e group by 1, 2")
 def audit_indices_corrupt(spark, sf_dir):
-    """Indices with rows left out of each: by the subject's first digit, and one object of POS."""
-    rows = indices(spark, sf_dir)
+    """Indices that are broken in every way: rows left out of each by the subject's first digit, counters with another
+    value, an object without subjects, objects under another name, and one object left out of POS."""
+    spo, osp, pos = indices(spark, sf_dir)
     first = F.substring(C.hexed(F.col("s")), 1, 1)
-    return edges(audit.consistency(rows.where(first != "0"), rows.where(first != "1"), rows.where(~first.isin("1", "2") & (F.col("o") != "3"))))
+    region = Cid.predicate("R:tpch:inRegion").lit
+    none = spark.range(1).select(region.alias("p"), F.lit(None).cast("binary").alias("s"), F.lit("none").alias("o"), F.lit(False).alias("counter"))
+    spo = spo.withColumn("o", F.when((first == "5") & F.col("counter"), "-1").otherwise(F.col("o"))).where(first != "0")
+    pos = pos.where(~first.isin("1", "2") & (F.col("o") != "3")).withColumn("o", F.when(first == "4", "y").otherwise(F.col("o")))
+    return edges(audit.consistency(spo, osp.where(first != "1").unionByName(none), pos.unionByName(none)))
+
+
+@query(FACTS + "select p, 'unknown_data_structure' as type from t where name = 'R:doc:lang' group by p")
+def audit_unknown_structure(spark, sf_dir):
+    found = graph.registry().frame(spark).withColumn("plugin", F.when(F.col("name") == "R:doc:lang", "fulltext").otherwise(F.col("plugin")))
+    return edges(audit.unknown(found))
+
+
+@query(f"""with log as ({COUNTER_LOG}) select count(*) as total_operations, count(*) filter (op = 'INSERT') as total_increments,
+ (select count(*) from (select s, max(event_id) as since, arg_max(o_int, event_id) as o_int from log where op = 'INSERT' and o_int is not null group by 1) last
+  where not exists (select 1 from log where log.s = last.s and op = 'DELETE' and event_id > since and log.o_int = last.o_int)) as counter_count from log where o_int is not null""")
+def audit_counter_operations(spark, sf_dir):
+    log_ = counter_log(spark, sf_dir).withColumn("p", LAST.lit)
+    held = graph.registry().get(LAST).plugin.fold(log_).withColumn("p", LAST.lit)
+    return audit.counters(held, log_).select("total_operations", "total_increments", "counter_count")
 
 
 def reload(name: str, p: Cid, new: str, sql: str):
@@ -546,6 +633,18 @@ def reload(name: str, p: Cid, new: str, sql: str):
 reload("reload_c2c", LAST, "counter", "select s, o_cid, o_int from t where name = 'R:evt:lastValue'")
 reload("reload_m2m", DID, "multivalue", "select s, o_cid, o_int from t where name = 'R:evt:did'")
 reload("reload_c2m", LAST, "multivalue", "select s, sha256('E:migration:count_' || o_int) as o_cid, cast(null as bigint) as o_int from t where name = 'R:evt:lastValue'")
+@query(FACTS + "select s, o_cid, o_int from t where false")
+def reload_without_data(spark, sf_dir):
+    """Re-typed without its data, which is then gone."""
+    store = graph.store(spark, sf_dir)
+    return edges(migrate.hot_reload(store.registry, store.sources, DID, "counter", migrate=False)[DID]().select("s", "o_cid", "o_int"))
+
+
+@query(FACTS + "select count(distinct s) as migrated, cast(0 as bigint) as skipped from t where name = 'R:evt:did'")
+def migrate_stats(spark, sf_dir):
+    return migrate.stats(graph.store(spark, sf_dir).enumerate(DID), "multivalue_set", "counter")
+
+
 reload("reload_m2c", DID, "counter", "select s, cast(null as varchar) as o_cid, count(*) as o_int from t where name = 'R:evt:did' group by 1")
 
 # Maintenance ----------------------------------------------------------------------------------------------------
@@ -581,9 +680,31 @@ def merge_plan(spark, sf_dir):
     return maintain.merge_plan(maintain.bucket_stats(rows, C.bucket(F.col("key"), WIDE)), WIDE)
 
 
-@query("select o_orderkey, case when o_orderkey > 50000 then 'sharded' when o_orderkey > 1000 then 'dataset' else 'attribute' end as mode from orders")
+@query("""select depth, pow(2, depth)::bigint as pointers, case when pow(2, depth) > 50000 then 'sharded' when pow(2, depth) > 1000 then 'dataset' else 'attribute' end as mode,
+ case when pow(2, depth) > 50000 then ceil(pow(2, depth) / 50000)::bigint else 1 end as shards from range(0, 21) t(depth)""")
 def directory_mode(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", maintain.directory_mode(F.col("o_orderkey")).alias("mode"))
+    """How directories of each depth are stored."""
+    sizes = spark.range(21).select(F.col("id").alias("depth"), F.expr("shiftleft(1L, cast(id as int))").alias("pointers"))
+    mode = maintain.directory_mode(F.col("pointers"))
+    return sizes.select("depth", "pointers", mode.alias("mode"), F.when(mode == "sharded", F.ceil(F.col("pointers") / maintain.SHARD_ENTRIES)).otherwise(1).cast("long").alias("shards"))
+
+
+@query("""select i as index, case when i >> 2 = 3 and (i >> 1) & 1 = 1 then 16 else i >> 2 end as bucket_id from range(64) t(i)""")
+def pointer_update(spark, sf_dir):
+    """A directory of 6 bits over buckets of 4, after bucket 3 was split to 5 bits."""
+    directory = spark.range(64).select(F.col("id").alias("index"), F.shiftright("id", 2).alias("bucket_id"))
+    return maintain.pointers_after_split(directory, 6, 3, 16, 5)
+
+
+@query("""select i as index, cast(i >> 2 as bigint) as bucket_id, 'bucket_' || lpad(cast(i >> 2 as varchar), 4, '0') as name, count(c.h) as keys from range(64) t(i)
+ left join (select cast(cast('0x' || substr(sha256(c_name), 1, 16) as ubigint) >> 58 as bigint) as h from customer) c on c.h = i group by 1, 2, 3""")
+def bucket_pointers(spark, sf_dir):
+    """Keys by the pointer of a stored directory that their top bits choose, and the bucket that it names."""
+    path = tables.shared_place(spark, "directory")
+    spark.range(64).select(F.col("id").alias("index"), F.shiftright("id", 2).alias("bucket_id")).write.parquet(path)
+    keys = read(spark, sf_dir, "customer").select(C.bucket(C.cid(F.col("c_name")), 6).alias("index")).groupBy("index").agg(F.count("*").alias("keys"))
+    directory = spark.read.parquet(path)
+    return directory.join(keys, "index", "left").select("index", "bucket_id", C.bucket_name(F.col("bucket_id")).alias("name"), F.coalesce("keys", F.lit(0)).alias("keys"))
 
 
 @query("select 2 * n_nationkey + bit as index, cast(n_regionkey as bigint) as bucket_id from nation, (select unnest([0, 1]) as bit)")
@@ -678,18 +799,55 @@ def sorted_region(spark, sf_dir):
     return maintain.sorted_regions(rows, 100).withColumnRenamed("ht", "event_id")
 
 
-@query()
-def batch_tuner(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("event_id").alias("tick"), (F.col("value") / 1e6).alias("latency"), F.lit(0.0).alias("errors"), F.lit(0.9).alias("buffered"))
-    return maintain.tuned(rows)
+SIZES = "select (user_id % 16) as bucket_id, event_id, row_number() over (partition by user_id % 16 order by event_id) <= 20 as sorted from events where event_id % 4 = 0 or user_id % 16 > 2"
 
 
-# Streams and stored layouts -------------------------------------------------------------------------------------
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of 16 buckets (three of them small), the first 20 of each in its sorted region."""
+    rows = read(spark, sf_dir, "events").where("event_id % 4 = 0 or user_id % 16 > 2").select((F.col("user_id") % 16).alias("bucket_id"), F.col("event_id").alias("ht"))
+    return maintain.sorted_regions(rows, 20)
+
+
+@query(SQL_HISTORY + f""", z as (select bucket_id, count(*) as entry_count from ({SIZES}) group by 1)
+select cast(z.bucket_id as bigint) as bucket_id, entry_count, entry_count >= 128 as splits from z join d on d.bucket_id = z.bucket_id where danger >= 0.5 and entry_count >= 64""")
+def adaptive_trigger(spark, sf_dir):
+    sizes = activity(spark, sf_dir).groupBy("bucket_id").agg(F.count("*").alias("entry_count"))
+    return maintain.adaptive_trigger(maintain.danger(*history(spark, sf_dir)), sizes)
 
 
-def place(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{shared}/tripleframe-{name}-{uuid.uuid4().hex}"
+@query(SQL_HISTORY + f""", z as (select bucket_id, count(*) as entry_count, count(*) filter (not sorted) as unsorted from ({SIZES}) group by 1)
+select 1 as step, 'sort' as action, cast(bucket_id as bigint) as bucket_id, entry_count from z where unsorted > 16
+union all select 2, 'split', cast(z.bucket_id as bigint), entry_count from z join d on d.bucket_id = z.bucket_id where danger >= 0.5 and entry_count >= 128
+union all select 3, 'merge', x.bucket_id, x.entry_count + y.entry_count from z x join z y on y.bucket_id = x.bucket_id + 1 and x.bucket_id % 2 = 0 where x.entry_count <= 8 and y.entry_count <= 8""")
+def maintenance_cycle(spark, sf_dir):
+    return maintain.maintenance_cycle(activity(spark, sf_dir), maintain.danger(*history(spark, sf_dir)), F.col("bucket_id"), 4)
+
+
+@query(SQL_HISTORY + """select (select count(*) from d where danger > 0.5) as buckets, (select coalesce(string_agg(b, ',' order by b), '') from (select cast(bucket_id as varchar) as b from d where danger > 0.5 order by b limit 5)) as first,
+ exists (select 1 from d where danger > 0.5) as should_run, (select n > 10 and buckets < n * 0.3 from share) as sequential""")
+def recommendations(spark, sf_dir):
+    rows, now = history(spark, sf_dir)
+    return maintain.recommendations(maintain.danger(rows, now), rows)
+
+
+@query("""with recursive m as (select event_type as series, row_number() over (partition by event_type order by event_id) as i, event_id as tick, value / 1e6 as latency, case when event_id % 97 = 0 then 0.06::double else 0.0::double end as errors, 0.9::double as buffered from events),
+w as (select *, latency - 0.0001::double as e, sum(latency - 0.0001::double) over (partition by series order by i rows between unbounded preceding and current row) as total, coalesce(lag(latency - 0.0001::double) over (partition by series order by i), 0) as before from m),
+x as (select *, 0.5::double * e + 0.1::double * total + 0.3::double * (e - before) as push from w),
+r as (select series, cast(0 as bigint) as i, cast(0 as bigint) as tick, 64 as batch, 1.0::double as flush, 0 as strikes, 0 as slow from m group by 1
+ union all select series, i, tick, case when slow = 5 then 64 else batch end, case when slow = 5 then 1.0::double else flush end, strikes, case when slow = 5 then 0 else slow end from (
+  select x.series, x.i, x.tick, case when hit then greatest(32, r.batch // 2) when push < 0 and buffered > 0.8 then least(1024, r.batch + 32) else r.batch end as batch,
+   case when e > 0 then least(2.0::double, r.flush * 1.1::double) else greatest(0.1::double, r.flush * 0.95::double) end as flush, case when hit then 0 else n end as strikes, case when latency > 0.00015 then r.slow + 1 else 0 end as slow
+  from (select x.*, r.batch, r.flush, r.slow, case when e > 0 or errors > 0.01 then r.strikes + 1 else 0 end as n, (case when e > 0 or errors > 0.01 then r.strikes + 1 else 0 end) >= 3 or errors > 0.05 as hit from r join x on x.series = r.series and x.i = r.i + 1) x
+  join r on r.series = x.series and r.i = x.i - 1))
+select series, tick, batch, round(flush, 6) as flush from r where i > 0""")
+def batch_tuner(spark, sf_dir):
+    rows = read(spark, sf_dir, "events")
+    errors = F.when(F.col("event_id") % 97 == 0, 0.06).otherwise(0.0)
+    made = rows.select(F.col("event_type").alias("series"), F.col("event_id").alias("tick"), (F.col("value") / 1e6).alias("latency"), errors.alias("errors"), F.lit(0.9).alias("buffered"))
+    return maintain.tuned(made).withColumn("flush", F.round("flush", 6))
+
+
+# Streams and stored layouts -------------------------------------------------------------------------------------
 
 
 @query("""select s, o from (select sha256('E:user:' || user_id) as s, sha256('E:evt:' || event_type) as o, arg_max(event_type <> 'error' or event_id % 2 = 0, event_id) as there from events group by 1, 2) where there""")
@@ -698,32 +856,45 @@ def stream_set_state(spark, sf_dir):
     rows = read(spark, sf_dir, "events")
     op = F.when((F.col("event_type") != "error") | (F.col("event_id") % 2 == 0), "INSERT").otherwise("DELETE")
     made = rows.select(graph.named("user", "user_id").alias("s"), graph.named("evt", "event_type").alias("o"), op.alias("op"), F.col("event_id").alias("ord"))
-    source = place(spark, "mutations")
+    source = tables.shared_place(spark, "mutations")
+    made.repartitionByRange(3, "ord").write.parquet(source)
+    state = streams.State(spark, tables.shared_place(spark, "state"), streams.folded_set)
+    streams.consume(spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(source), state, tables.shared_place(spark, "checkpoint"))
+    return edges(state.current())
+
+
+@query("select s, o from (select sha256('E:user:' || user_id) as s, arg_max(event_type, event_id) as e, sha256('E:evt:' || arg_max(event_type, event_id)) as o, max(event_id) as last from events group by 1, user_id) where e <> 'error' or last % 2 = 0")
+def stream_counter_state(spark, sf_dir):
+    """The last write of each subject of a stream, if that is no delete."""
+    rows = read(spark, sf_dir, "events")
+    op = F.when((F.col("event_type") != "error") | (F.col("event_id") % 2 == 0), "INSERT").otherwise("DELETE")
+    made = rows.select(graph.named("user", "user_id").alias("s"), graph.named("evt", "event_type").alias("o"), op.alias("op"), F.col("event_id").alias("ord"))
+    source = tables.shared_place(spark, "mutations")
     made.repartitionByRange(3, "ord").write.parquet(source)
-    state = streams.State(spark, place(spark, "state"), streams.folded_set)
-    streams.consume(spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(source), state, place(spark, "checkpoint"))
+    state = streams.State(spark, tables.shared_place(spark, "state"), streams.folded_counter)
+    streams.consume(spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(source), state, tables.shared_place(spark, "checkpoint"))
     return edges(state.current())
 
 
 @query(FACTS + f"select s, o_cid from t where name = 'R:tpch:placedBy' and o_cid = {sql_cid('cust', CUST)}")
 def stored_layout(spark, sf_dir):
     """Writes both layouts and answers (?, p, o) from the one that is sorted by object."""
-    path = place(spark, "layout")
-    tables.save_triples(graph.store(spark, sf_dir)._of([PLACED, NATION]), path, 8)
+    path = tables.shared_place(spark, "layout")
+    tables.save_triples(graph.store(spark, sf_dir).everything(), path, 8)
     rows = tables.load_triples(spark, path, "osp", [PLACED])
     return edges(rows.where(F.col("o_cid") == cid_of("cust", CUST).lit).select("s", "o_cid"))
 
 
 @query(f"select key, value from ({PARTS}) where key = {sql_cid('order', ORDER)}")
 def stored_kv(spark, sf_dir):
-    path = place(spark, "kv")
+    path = tables.shared_place(spark, "kv")
     tables.save_kv(order_parts(spark, sf_dir), path)
     return edges(tables.find_kv(spark, path, cid_of("order", ORDER)).select("key", "value"))
 
 
-@query("select i as id, sha256('42:s:' || i) as s, sha256('42:p:' || i) as p, sha256('42:o:' || i) as o from range(10000) t(i)")
+@query("select i as id, sha256('42:s:' || i) as s, sha256('42:p:' || i) as p, sha256('42:o:' || i) as o from range(1000000) t(i)")
 def triple_generator(spark, sf_dir):
-    return edges(tables.generated(spark, 10_000))
+    return edges(tables.generated(spark))
 
 
 # Extensions -----------------------------------------------------------------------------------------------------
@@ -761,18 +932,63 @@ def ext_symmetric(spark, sf_dir):
 
 @query(FACTS + "select name, count(*) as cardinality, count(distinct s) as subjects, round(1.0 / count(distinct s), 9) as selectivity from t group by 1")
 def ext_predicate_stats(spark, sf_dir):
-    found = ext.predicate_stats(graph.store(spark, sf_dir).everything())
+    found = ext.predicate_stats(graph.stored(spark, sf_dir).everything())
     return found.join(F.broadcast(graph.registry().frame(spark).select("p", "name")), "p").select("name", "cardinality", "subjects", F.round("selectivity", 9).alias("selectivity"))
 
 
-@query(FACTS + "select o.s as order_cid, n.o_cid as nation_cid from t o join t n on n.s = o.o_cid and n.name = 'R:tpch:inNation' where o.name = 'R:tpch:placedBy'")
+@query("select sha256('E:order:' || o_orderkey) as order_cid, sha256('E:nation:' || c_nationkey) as nation_cid from orders join customer on c_custkey = o_custkey")
 def ext_bgp_two_hop(spark, sf_dir):
     """Orders with the nation of the customer who placed them."""
-    store = graph.store(spark, sf_dir)
+    store = graph.stored(spark, sf_dir)
     orders = store.enumerate(PLACED).select(F.col("s").alias("order_cid"), F.col("o_cid").alias("cust_cid"))
     return edges(store.join(orders, NATION, "cust_cid", "nation_cid").select("order_cid", "nation_cid"))
 
 
+@query("select sha256('E:order:' || o_orderkey) as o, sha256('E:cust:' || o_custkey) as c, sha256('E:nation:' || c_nationkey) as n, sha256('E:region:' || n_regionkey) as r from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey")
+def ext_bgp_planned(spark, sf_dir):
+    """Three patterns in the order that the predicates' statistics give."""
+    store = graph.stored(spark, sf_dir)
+    patterns = [(PLACED, "o", "c"), (NATION, "c", "n"), (Cid.predicate("R:tpch:inRegion"), "n", "r")]
+    return edges(ext.planned_join(store, patterns, ext.predicate_stats(store.everything())).select("o", "c", "n", "r"))
+
+
+@query("select user_id, event_type, count(*) > 0 as held from events where event_type <> 'error' group by 1, 2")
+def ext_bloom(spark, sf_dir):
+    """Every pair that was put into a Bloom filter is found in it."""
+    rows = read(spark, sf_dir, "events").where("event_type != 'error'").select("user_id", "event_type").distinct()
+    log_ = rows.select("*", graph.named("user", "user_id").alias("s"), graph.named("evt", "event_type").alias("o_cid"))
+    bloom = ext.BloomFilter(bits=4096)
+    found = bloom.might_hold(bloom.filters(log_), log_.select("s", "o_cid"))
+    return log_.join(found, ["s", "o_cid"]).select("user_id", "event_type", F.col("may_hold").alias("held"))
+
+
+@query("select o_orderkey, o_orderpriority = '1-URGENT' as urgent from orders where o_orderpriority in ('1-URGENT', '5-LOW')")
+def ext_boolean(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").withColumn("said", F.when(F.col("o_orderpriority") == "1-URGENT", "true").when(F.col("o_orderpriority") == "5-LOW", "false").otherwise("perhaps"))
+    log_ = rows.select(F.col("o_orderkey").cast("string").alias("s"), C.cid(F.col("said")).alias("o_cid"), F.lit(None).cast("long").alias("o_int"), F.col("o_orderkey").alias("ord"))
+    return ext.Boolean().fold(log_).select(F.col("s").cast("long").alias("o_orderkey"), (F.col("o_cid") == Cid.of("true").lit).alias("urgent"))
+
+
+@query("select event_id, user_id, row_number() over (partition by user_id order by event_id) as version from events")
+def ext_versions(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("s"), F.col("event_id").alias("ord"))
+    return ext.SingleValue(versioning=True).versions(rows).select("event_id", F.col("s").alias("user_id"), F.col("version").cast("long").alias("version"))
+
+
+@query("select event_id from events where ts >= (select max(ts) from events) - interval 2 day")
+def ext_retained(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").withColumn("ts", F.to_timestamp("ts"))
+    return ext.retained(rows, F.lit(rows.agg(F.max("ts")).first()[0]), 2).select("event_id")
+
+
+@query("""with x as (select sha256('E:nation:' || n_nationkey) as s, sha256('E:region:' || n_regionkey) as o from nation), b as (select s, o from x union select o, s from x)
+select s, o as o_cid from (select s, o, row_number() over (partition by s order by o) as r from b) where r <= 3""")
+def ext_set_options(spark, sf_dir):
+    """A symmetric set of at most three members a subject; all members come in at one time."""
+    rows = graph.link("nation", ("nation", "n_nationkey"), ("region", "n_regionkey"))(lambda t: read(spark, sf_dir, t))
+    return edges(MultiValueSet(symmetric=True, max_size=3).fold(rows.select("s", "o_cid")).select("s", "o_cid"))
+
+
 @query("select sha256('E:user:' || user_id) as s, sha256('E:evt:' || arg_max(event_type, event_id)) as o_cid from events group by user_id")
 def ext_single_value(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select(graph.named("user", "user_id").alias("s"), graph.named("evt", "event_type").alias("o_cid"), F.lit(None).cast("long").alias("o_int"), F.col("event_id").alias("ord"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tripleframe.functions.cid import Cid, cid
 from tripleframe.operators.registry import Registry
 from tripleframe.plans.query import Store
+from tripleframe.sources import tables
 
 Log = Callable[[Callable[[str], DataFrame]], DataFrame]
 
@@ -63,9 +64,25 @@ def store(spark: SparkSession, sf_dir: str, **options) -> Store:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     none_cid, none_int = F.lit(None).cast("binary"), F.lit(None).cast("long")
+
     def made(plugin: str, source: Log) -> DataFrame:
         rows = source(table)
         return rows.select("s", none_cid.alias("o_cid"), "o_int") if plugin == "counter" else rows.select("s", "o_cid", none_int.alias("o_int"))
 
     sources = {Cid.predicate(term): partial(made, *how) for term, how in PREDICATES.items()}
     return Store(registry(), sources, spark, **options)
+
+
+#: Layouts that sessions have made, by session and folder of tables.
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, **options) -> Store:
+    """The same store over its stored layouts, which a session makes once for a folder of tables, as a load does."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    lazy = store(spark, sf_dir, **options)
+    if key not in _stored:
+        path = tables.shared_place(spark, "graph")
+        tables.save_triples(lazy.everything(), path, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        _stored[key] = path
+    return Store(lazy.registry, lazy.sources, spark, stored=_stored[key], **options)

@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripleframe.functions import cid as C
+from tripleframe.schema import KV, TRIPLE
 
 #: Bits of the directory that buckets of the multimap are stored by.
 DEPTH = 6
+STORED = T.StructType([*TRIPLE, T.StructField("pred", T.StringType())])
+LAYOUTS = {"spo": ["pred", "s"], "osp": ["pred", "o_cid", "o_int"]}
+
+
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A path that nobody has used yet, in the folder that driver and executors share: spark.checkpoint.dir, or a
+    temporary folder where all of Spark runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.gettempdir()
+    return f"{found.rstrip('/')}/tripleframe-{name}-{uuid.uuid4().hex}"
 
 
 def save_triples(triples: DataFrame, path: str, partitions: int) -> None:
-    """Both layouts, partitioned by predicate (at most 200) and sorted for row-group statistics: by subject, and by object."""
-    rows = triples.withColumn("pred", C.hexed(F.col("p")))
-    for name, keys in (("spo", ["pred", "s"]), ("osp", ["pred", "o_cid", "o_int"])):
+    """Both layouts, partitioned by predicate (at most 200) and sorted for statistics of pages and row groups: by
+    subject, and by object. The object layout serves (?, p, o) as well, as its folders are predicates."""
+    rows = triples.select(C.hexed(F.col("p")).alias("pred"), "p", "s", "o_cid", "o_int")
+    for name, keys in LAYOUTS.items():
         rows.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("pred").parquet(f"{path}/{name}")
 
 
 def load_triples(spark: SparkSession, path: str, layout: str = "spo", predicates: list[C.Cid] | None = None) -> DataFrame:
-    rows = spark.read.parquet(f"{path}/{layout}")
+    """p, s, o_cid, o_int and pred, of some predicates or all; filters on the layout's order skip pages."""
+    rows = spark.read.schema(STORED).parquet(f"{path}/{layout}")
     return rows.where(F.col("pred").isin([p.hex for p in predicates])) if predicates is not None else rows
 
 
@@ -28,15 +48,15 @@ def save_kv(kv: DataFrame, path: str, depth: int = DEPTH) -> None:
     kv.withColumn("bucket", C.bucket(F.col("key"), depth)).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "ht").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def load_kv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*KV, T.StructField("bucket", T.LongType())])).parquet(path)
+
+
 def find_kv(spark: SparkSession, path: str, key: C.Cid, depth: int = DEPTH) -> DataFrame:
     """One key: its bucket prunes folders, its bytes row groups."""
     return spark.read.parquet(path).where((F.col("bucket") == int.from_bytes(key.raw[:8], "big") >> (64 - depth)) & (F.col("key") == key.lit)).drop("bucket")
 
 
-def backup(spark: SparkSession, path: str, to: str) -> None:
-    spark.read.parquet(path).write.mode("overwrite").parquet(to)
-
-
 def generated(spark: SparkSession, n: int = 1_000_000, seed: int = 42) -> DataFrame:
     """A bench's random triples, the same for a seed."""
     text = [F.concat(F.lit(f"{seed}:{x}:"), F.col("id").cast("string")) for x in "spo"]
