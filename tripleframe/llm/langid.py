@@ -7,7 +7,8 @@ their code points, whatever the script. The nearest language wins; ties go to th
 learned from at most `SAMPLE` training rows of each language, those with the smallest hash of their id.
 
 accepted() also learns from that sample how far a text may be from its language: for texts with about as many
-different n-grams, the largest distance that a sampled text has from its own language, and `MARGIN`.
+different n-grams, as far as a sampled text typically is from languages that are not its own, and at least `MARGIN`
+farther than any sampled text is from its own.
 
 Defined results: `und`, score 0 and distance 1 for texts that are null, empty or without letters, and for
 all texts if nothing could be learned; a null id is never held out and never trained on; rows without lang
@@ -39,7 +40,7 @@ PROFILE = 400
 FOLDS = 5
 #: Hashes of n-grams; two n-grams that share one count as the same.
 SPACE = 1 << 18
-#: accepted() lets a document go whose distance is above the largest of its kind in the sample by more than this.
+#: accepted() keeps documents whose distance is above the largest of their kind in the sample by less than this.
 MARGIN = 0.1
 #: Distance that counts where the sample has fewer than so many texts of a size.
 REJECT, ENOUGH = 0.9, 20
@@ -132,15 +133,19 @@ def limits(held: DataFrame, learned: dict[str, np.ndarray], margin: float = MARG
     def run(batches):
         score = scorer(learned)
         for batch in batches:
-            out = [(kind, own[lang]) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, _, _, kind, own in [score(text)] if lang in own]
+            out = [(kind, far[lang], others(lang, far)) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, _, _, kind, far in [score(text)] if lang in far]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64())], ["kind", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.float64(), pa.float64()), strict=True)], ["kind", "own", "other"])
 
-    found = held.mapInArrow(run, "kind long, distance double").groupBy("kind").agg(F.count("*").alias("n"), F.max("distance").alias("most")).collect()  # a few rows
+    def others(lang: str, far: dict[str, float]) -> float:
+        rest = [d for name, d in far.items() if name != lang]
+        return sum(rest) / len(rest) if rest else REJECT
+
+    found = held.mapInArrow(run, "kind long, own double, other double").groupBy("kind").agg(F.count("*").alias("n"), F.max("own").alias("most"), F.median("other").alias("typical")).collect()  # a few rows
     out = [REJECT] * (PROFILE.bit_length() + 1)
     for r in found:
         if r["n"] >= ENOUGH:
-            out[r["kind"]] = min(REJECT, r["most"] + margin)
+            out[r["kind"]] = min(REJECT, max(r["most"] + margin, r["typical"]))
     return out
 
 
