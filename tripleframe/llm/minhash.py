@@ -14,6 +14,8 @@ similarity s to the least text allows it, with those that passed: weighted Jacca
 text with s < 2 * THRESHOLD - 1 links with none of them. Pairs that are connected already are not compared, no
 pair leaves a task but as a link that joins two components, and no bucket is capped.
 
+Texts are told by two hashes of 64 bits.
+
 Defined results: equal texts are one class, null text counts as empty, texts without a word are linked by
 equality alone; texts of fewer than five words have one shingle of all their words; ties and repeated rows go to
 the smallest doc_id; a null doc_id is a class's id only if it has no other; an empty table gives an empty
@@ -30,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import blocks
@@ -44,8 +46,11 @@ BANDS, ROWS = 10, 4
 RARE = 1000
 #: Cells of the frequency sketch, and cells of one row that it is handed on in.
 CELLS, PART = 1 << 20, 1 << 14
-#: Texts that a task compares with one other, and texts of a block.
+#: Texts that a task compares with one other, and texts of a block; and the bytes that they have on average at most.
 STAR, BLOCK = 2000, 512
+STAR_BYTES, BLOCK_BYTES = 16 << 20, 4 << 20
+#: Hashes that two texts share which may be broadcast; more are joined by a shuffle.
+FEW = 100_000
 #: Bytes of text that are made into shingles at a time.
 BYTES = 1 << 20
 MULT = 0x9E3779B97F4A7C15
@@ -134,6 +139,15 @@ def bags(column: pa.Array, heavy: tuple[np.ndarray, np.ndarray, float] | None =
     return begin, h, tf
 
 
+def bags_of(column: pa.Array, heavy: tuple[np.ndarray, np.ndarray, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """bags() of a column of any size, some BYTES at a time."""
+    parts = [bags(column.slice(lo, hi - lo), heavy) for lo, hi in blocks(column, BYTES)]
+    if not parts:
+        return np.zeros(1, np.int64), np.empty(0, np.uint64), np.empty(0)
+    sizes = np.concatenate([np.diff(begin) for begin, _, _ in parts])
+    return np.concatenate([[0], sizes.cumsum()]), np.concatenate([h for _, h, _ in parts]), np.concatenate([w for _, _, w in parts])
+
+
 def idf_of(h: np.ndarray, heavy: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
     keys, idf, others = heavy
     if not len(keys):
@@ -204,10 +218,29 @@ def similarity(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -
     return both / (float(w1.sum()) + float(w2.sum()) - both)
 
 
+def keys_of(doc_id: Column, text: Column) -> tuple[Column, Column, Column]:
+    """node (the text), node2 (another hash of it), k (the row)."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(3), text), F.xxhash64(doc_id.cast("long"), text)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """node (the text), k (the row), doc_id, text."""
+    """node, node2, k, doc_id, text."""
     docs = only(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    return docs.select(F.xxhash64("text").alias("node"), F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
+    node, node2, k = keys_of(F.col("doc_id"), F.col("text"))
+    return docs.select(node.alias("node"), node2.alias("node2"), k.alias("k"), "doc_id", "text")
+
+
+def told_apart(held: DataFrame) -> DataFrame:
+    """held with other nodes where two texts share one. Two hashes of 64 bits tell texts apart; among some billions of
+    texts a few share the first one, and only theirs is replaced by a hash of both."""
+    shared = held.groupBy("node").agg(F.min("node2").alias("low"), F.max("node2").alias("high")).where("low != high").select("node", F.lit(True).alias("shared"))
+    shared, _ = written(shared, "shared-nodes")
+    n = shared.count()
+    if not n:
+        return held
+    rows = held.join(F.broadcast(shared) if n <= FEW else shared, "node", "left")
+    return rows.withColumn("node", F.when(F.col("shared"), F.xxhash64("node2", "node")).otherwise(F.col("node"))).drop("shared")
 
 
 def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
@@ -270,28 +303,30 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
 
 
 def signed(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """node, k, doc_id, bands (null for texts without a word)."""
+    """node, node2, k, doc_id, bytes of the text, bands (empty for texts without a word)."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi in blocks(batch.column(3), BYTES):
+            for lo, hi in blocks(batch.column(4), BYTES):
                 part = batch.slice(lo, hi - lo)
-                begin, h, w = bags(part.column(3), heavy)
+                begin, h, w = bags(part.column(4), heavy)
                 bands = band_hashes(samples(begin, h, w))
                 has = begin[1:] > begin[:-1]
                 flat = pa.array(bands.ravel())
                 offsets = np.concatenate([[0], np.cumsum(has)]) * BANDS
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], ["node", "k", "doc_id", "bands"])
+                size = pc.cast(pc.binary_length(part.column(4)), pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], size, lists], ["node", "node2", "k", "doc_id", "bytes", "bands"])
 
-    return docs.select("node", "k", "doc_id", "text").mapInArrow(run, "node long, k long, doc_id long, bands array<long>")
+    return docs.select("node", "node2", "k", "doc_id", "text").mapInArrow(run, "node long, node2 long, k long, doc_id long, bytes long, bands array<long>")
 
 
 def star(pairs: DataFrame, texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray, float], least: float) -> DataFrame:
     """a, b, s for pairs (a, b) with a similarity of at least `least`. Texts of one b are dealt by salts, so that each
-    task compares about STAR of them with it."""
+    task compares about STAR of them, or STAR_BYTES, with it."""
     spark = pairs.sparkSession
-    hot, _ = written(pairs.groupBy("b").count().where(F.col("count") > STAR).select("b", F.ceil(F.col("count") / STAR).cast("long").alias("salts")), "hot-stars")
+    salts = F.ceil(F.greatest(F.count("*") / STAR, F.sum("bytes") / STAR_BYTES)).cast("long").alias("salts")
+    hot, _ = written(pairs.groupBy("b").agg(salts).where("salts > 1"), "hot-stars")
     dealt = pairs.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1)))).select("a", "b", "salt")
     roles = dealt.select(F.col("a").alias("node"), "b", "salt", F.lit(1).alias("side")).union(dealt.select(F.col("b").alias("node"), "b", "salt", F.lit(0).alias("side")).distinct())
     task = ["b", "salt"]
@@ -324,14 +359,14 @@ def rest(members: DataFrame, tested: DataFrame, label: DataFrame, texts: DataFra
     rows = members.join(s, ["node", "rep"], "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     passed = (F.col("node") == F.col("rep")) | (F.coalesce("s", F.lit(0.0)) >= threshold)
     near = ~passed & (F.coalesce("s", F.lit(0.0)) >= 2 * threshold - 1)
-    rows = rows.select("band", "h", "node", "label", passed.alias("passed"), near.alias("near"), F.when(F.col("node") == F.col("rep"), F.col("label")).alias("rep_label"))
+    rows = rows.select("band", "h", "node", "bytes", "label", passed.alias("passed"), near.alias("near"), F.when(F.col("node") == F.col("rep"), F.col("label")).alias("rep_label"))
     buckets = rows.groupBy("band", "h").agg(
-        F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("rep_label").alias("of_rep"),
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("long").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("rep_label").alias("of_rep"),
         F.min(F.when(~F.col("passed"), F.col("label"))).alias("low_failed"), F.max(F.when(~F.col("passed"), F.col("label"))).alias("high_failed"),
         F.min(F.when(F.col("near"), F.col("label"))).alias("low_near"), F.max(F.when(F.col("near"), F.col("label"))).alias("high_near"),
     ).where("low != high")
     has_near = "low_near is not null and (low_near != of_rep or high_near != of_rep)"
-    buckets = buckets.withColumn("near_any", F.expr(has_near)).where("near_any or low_failed != high_failed").select("band", "h", "near_any", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks"))
+    buckets = buckets.withColumn("near_any", F.expr(has_near)).where("near_any or low_failed != high_failed").select("band", "h", "near_any", "blocks")
     left = rows.join(buckets, ["band", "h"]).where("not passed or near_any")
     left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
     left = left.select("band", "h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "passed", "near")
@@ -345,7 +380,7 @@ def rest(members: DataFrame, tested: DataFrame, label: DataFrame, texts: DataFra
             for first, stop in zip(starts, np.r_[starts[1:], at.shape[1]], strict=True):
                 part = group.slice(first, stop - first)
                 own, node, label, passed, near = (part.column(c).to_numpy() for c in ("own", "node", "label", "passed", "near"))
-                begin, h, w = bags(whole(part.column("text")), heavy)
+                begin, h, w = bags_of(whole(part.column("text")), heavy)
                 across = at[2, first] != at[3, first]
                 parent = {x: x for x in label.tolist()}
 
@@ -370,8 +405,8 @@ def rest(members: DataFrame, tested: DataFrame, label: DataFrame, texts: DataFra
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, k (which tells rows of one id apart) and class_id, the smallest doc_id of the class; kept_k is the k
-    of the row that stays. A table in the shared folder; what led to it is deleted."""
+    """doc_id, k and node2 (which tell rows apart), class_id, the smallest doc_id of the class, and whether the row
+    stays. A table in the shared folder; what led to it is deleted."""
     spark = docs.sparkSession
     rows, scratch = keyed(docs), []
 
@@ -381,17 +416,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return out
 
     heavy = heavy_shingles(rows)
-    held = table(signed(rows, heavy), "signatures")
-    nodes = held.groupBy("node").agg(F.min("k").alias("k"), F.max("bands").alias("bands"))
-    banded = nodes.where(F.size("bands") > 0).select("node", "k", F.posexplode("bands").alias("band", "h"))
+    held = told_apart(table(signed(rows, heavy), "signatures"))
+    nodes = held.groupBy("node").agg(F.min(F.struct("k", "node2")).alias("row"), F.max("bands").alias("bands"), F.max("bytes").alias("bytes"))
+    banded = nodes.where(F.size("bands") > 0).select("node", "row.k", "row.node2", "bytes", F.posexplode("bands").alias("band", "h"))
     shared = banded.groupBy("band", "h").agg(F.count("*").alias("m"), F.min("node").alias("rep")).where("m > 1").drop("m")
-    members = table(banded.join(shared, ["band", "h"]).select("band", "h", "node", "k", "rep"), "members")
-    involved = rows.select("k", "text").join(members.select("node", "k").distinct(), "k").select("node", "text")
+    members = table(banded.join(shared, ["band", "h"]).select("band", "h", "node", "k", "node2", "bytes", "rep"), "members")
+    involved = rows.select("k", "node2", "text").join(members.select("node", "k", "node2").distinct(), ["k", "node2"]).select("node", "text")
     texts = table(involved.dropDuplicates(["node"]) if repeats(held) else involved, "involved-texts")
-    pairs = members.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = members.where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"), "bytes").distinct()
     tested = table(star(pairs, texts, heavy, 2 * threshold - 1), "stars")
     label = table(components(tested.where(F.col("s") >= threshold).select("a", "b")), "labels")
-    more = table(rest(members.drop("k"), tested, label, texts, heavy, threshold), "more-links")
+    more = table(rest(members.drop("k", "node2"), tested, label, texts, heavy, threshold), "more-links")
     if more.limit(1).count():
         joined = more.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
         # labels of labels: a node follows its first label to the last
@@ -399,23 +434,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         label = label.union(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("label")))
         label = label.join(over, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
     # both sides of the last join are tables, so that the rows of a large class can be split
-    labelled = table(held.select("node", "k", "doc_id").join(label, "node", "left").select("doc_id", "k", F.coalesce("label", "node").alias("label")), "labelled")
-    least = table(labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first")), "least")
-    out, _ = written(labelled.join(least, "label").select("doc_id", "k", F.col("first.doc_id").alias("class_id"), F.col("first.k").alias("kept_k")), "classes")
+    labelled = table(held.select("node", "node2", "k", "doc_id").join(label, "node", "left").select("doc_id", "k", "node2", F.coalesce("label", "node").alias("label")), "labelled")
+    least = table(labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "node2")).alias("first")), "least")
+    out, _ = written(labelled.join(least, "label").select("doc_id", "k", "node2", F.col("first.doc_id").alias("class_id"), ((F.col("k") == F.col("first.k")) & (F.col("node2") == F.col("first.node2"))).alias("kept")), "classes")
     dropped(spark, *scratch)
     return out
 
 
 def repeats(held: DataFrame) -> bool:
     """Whether some row occurs twice."""
-    return bool(held.groupBy("k").count().where("count > 1").limit(1).count())
+    return bool(held.groupBy("k", "node2").count().where("count > 1").limit(1).count())
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stay, one of each class, with their columns."""
     keys = classes(docs, threshold)
-    (name,) = free_names(docs, "k")
-    stay = keys.where(F.col("k") == F.col("kept_k")).select(F.col("k").alias(name)).distinct()
-    with_k = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = with_k.join(stay, name, "left_semi")
-    return (kept.dropDuplicates([name]) if repeats(keys) else kept).select(*quoted(docs))
+    one, two = free_names(docs, "k", "node2")
+    stay = keys.where("kept").select(F.col("k").alias(one), F.col("node2").alias(two)).distinct()
+    _, node2, k = keys_of(F.col("doc_id"), F.col("text"))
+    kept = docs.withColumns({one: k, two: node2}).join(stay, [one, two], "left_semi")
+    return (kept.dropDuplicates([one, two]) if repeats(keys) else kept).select(*quoted(docs))

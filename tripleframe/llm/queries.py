@@ -44,7 +44,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", (F.col("k") == F.col("kept_k")).alias("kept"))
+    return found.select("doc_id", "class_id", "kept")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
