@@ -1,13 +1,21 @@
-"""Web archives: writing, reading back, and the index of all captures.
+"""Web archives: writing, reading back, and the merged index of all captures.
 
 Records are written by Spark's text sink, whose line separator is the blank lines that end a record, so that
 archives appear through Spark's commit protocol on any file system; payloads that were seen before become
-revisit records. Reading parses each archive by its content lengths and leaves a sorted run of captures;
-the runs are dealt by ranges of (URL key, timestamp, record id), and each range merges its runs with a loser
-tree. So the output, in partition order, is the capture history of all URLs.
-
-Defined results: a null html is an empty payload; a null url has the empty key; rows that repeat a page_id
-are records of their own, and both responses if theirs is the smallest page_id of the payload; an empty table gives no archive and an empty result; other columns are not read.
+revisit records. Digests come first, as a table without payloads; what is joined to the pages is only the first page
+of each repeated payload, so payloads are not shuffled while that list is short. Digests are taken again when records
+are written: reading a payload twice costs less than moving it.
+
+Reading parses each archive by its content lengths, record by record, and writes sorted runs of at most RUN captures
+to a table. The index is an external merge of these runs: boundaries of (URL key, timestamp, record id) that part
+all captures into ranges of about RANGE, drawn from a sample, cut each run into segments, which stay in order as they
+are shipped; a range merges its segments with a loser tree, a cursor each. So a task holds one range, whatever the
+number of captures and however common a URL, and the output, in partition order, is the capture history of all URLs.
+
+Defined results: a null html is an empty payload; a null url has the empty key; a null page_id counts as larger than
+all others, and among rows without any other id each is a response; rows that repeat a page_id are records of their
+own, and both responses if theirs is the smallest page_id of the payload; very long payloads share an archive with
+fewer others; an empty table gives no archive and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,25 +23,33 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-from collections.abc import Iterator
+import io
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from itertools import islice
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, scratch, shuffle_parts, written
+from .common import dropped, only, scratch, whole_groups, written
 
-#: Records of one archive, which a task reads at once.
-RECORDS = 2000
-#: Copies of each row of payload groups, over which pages of a very common payload are spread.
-SALTS = 8
+#: Records of one archive at most, and bytes of payload that it has on average at most.
+RECORDS, ARCHIVE = 2000, 64 << 20
+#: Repeated payloads that may be broadcast; more are joined by a shuffle.
+FEW = 100_000
+#: Captures of a run, captures of a range of the merge, and sampled keys for each range.
+RUN, RANGE, SAMPLE = 20_000, 50_000, 20
 EPOCH = "2020-01-01T00:00:00Z"
 END = "\r\n\r\n"
 INDEX = "url_key string, ts string, record_id string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, place long"
 
+KEY = ["url_key", "ts", "record_id"]
 SCHEMA = pa.schema([(name, pa.string() if kind == "string" else pa.int64()) for name, kind in (x.split() for x in INDEX.split(", "))])
+RUN_SCHEMA = pa.schema([("run", pa.string()), *SCHEMA])
 
 
 def url_key(url: str | None) -> str:
@@ -61,14 +77,16 @@ def with_digests(pages: DataFrame) -> DataFrame:
     return only(pages, page_id="long", url="string", html="string").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, html string")
 
 
-def records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """One record per page, as text without its closing blank lines. Payloads of at least `least` bytes are
-    stored once; only payloads that occur twice take part in a join, spread over salts."""
-    rows = with_digests(pages)
-    seen = rows.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("payload_bytes") >= least))
-    seen = seen.select("payload_digest", "first", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).join(seen, ["payload_digest", "salt"], "left")
-    again = F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
+def first_pages(digests: DataFrame, least: int = 0) -> DataFrame:
+    """payload_digest and the smallest page_id of payloads of at least `least` bytes that occur twice."""
+    seen = digests.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    return seen.where((F.col("n") > 1) & (F.col("payload_bytes") >= least) & F.col("first").isNotNull()).select("payload_digest", "first")
+
+
+def records(pages: DataFrame, first: DataFrame) -> DataFrame:
+    """One record per page, as text without its closing blank lines."""
+    rows = with_digests(pages).join(first, "payload_digest", "left")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     record_id = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
     ts = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH), "yyyy-MM-dd'T'HH:mm:ssX") + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat_ws(
@@ -89,18 +107,30 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least: int = 0, per_archive: int = RECORDS) -> None:
-    records(pages, least).write.option("lineSep", END).option("maxRecordsPerFile", per_archive).option("compression", "gzip").text(path)
+    spark = pages.sparkSession
+    digests, digests_path = written(with_digests(pages).drop("html", "url"), "digests")
+    first, first_path = written(first_pages(digests, least), "first-pages")
+    mean = digests.agg(F.avg("payload_bytes")).first()[0] or 0
+    per_archive = max(1, min(per_archive, int(ARCHIVE / max(mean, 1))))
+    made = records(pages, F.broadcast(first) if first.count() <= FEW else first)
+    made.write.option("lineSep", END).option("maxRecordsPerFile", per_archive).option("compression", "gzip").text(path)
+    dropped(spark, digests_path, first_path)
 
 
-def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Place, header and content of each record; content lengths alone say where one ends."""
+def parse(data: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Place, header and content of each record; content lengths alone say where one ends, and one is held at a time."""
     at = 0
-    while at < len(data):
-        body = data.index(b"\r\n\r\n", at) + 4
-        head = dict(line.split(": ", 1) for line in data[at : body - 4].decode().split("\r\n")[1:])
-        end = body + int(head["Content-Length"])
-        yield at, head, data[body:end]
-        at = end + 4
+    while line := data.readline():
+        start, head = at, {}
+        at += len(line)
+        while (line := data.readline()) not in (b"\r\n", b""):
+            at += len(line)
+            name, _, value = line.decode().rstrip("\r\n").partition(": ")
+            head[name] = value
+        size = int(head["Content-Length"])
+        yield start, head, data.read(size)
+        data.read(4)
+        at += 2 + size + 4
 
 
 def page_of(record_id: str | None) -> int | None:
@@ -108,38 +138,48 @@ def page_of(record_id: str | None) -> int | None:
     return int(found) if found else None
 
 
-def runs(spark, path: str) -> DataFrame:
-    """The captures of each archive, as a sorted run. Digests of responses are taken from the payload read."""
+def runs(spark, path: str, most: int = RUN) -> DataFrame:
+    """The captures of the archives, in sorted runs. Digests of responses are taken from the payload read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("path", "content")
 
     def run(batches):
+        out: list[tuple] = []
+
+        def sorted_run():
+            out.sort(key=lambda x: x[:3])
+            name = f"{out[0][9]}#{out[0][10]}"  # a record stands in one run only
+            yield from batches_of(((name, *x) for x in out), RUN_SCHEMA)
+            out.clear()
+
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out = []
-                for place, head, payload in parse(gzip.decompress(content.as_py())):
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                for place, head, payload in parse(gzip.GzipFile(fileobj=io.BytesIO(batch.column(1)[i].as_py()))):
                     kind, digest, size = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["WARC-Payload-Length"])
                     if kind == "response":
                         digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
                     url = head.get("WARC-Target-URI")
                     out.append((url_key(url), head["WARC-Date"], head["WARC-Record-ID"], page_of(head["WARC-Record-ID"]), url, kind, size, digest, page_of(head.get("WARC-Refers-To")), name, place))
-                out.sort(key=lambda x: x[:3])
-                yield from batches_of(iter(out), SCHEMA)
+                    if len(out) >= most:
+                        yield from sorted_run()
+        if out:
+            yield from sorted_run()
 
-    return files.mapInArrow(run, INDEX)
+    return files.mapInArrow(run, "run string, " + INDEX)
 
 
 class LoserTree:
-    """Merges sorted lists of (key, value): each inner node holds the loser of its match, the winner moves on."""
+    """Merges sorted sequences of keys: each inner node holds the loser of its match, the winner moves on. Iterating
+    gives (sequence, place in it)."""
 
-    def __init__(self, lists: list[list[tuple]]):
-        self.lists, self.at, self.k = lists, [0] * len(lists), len(lists)
+    def __init__(self, runs: Sequence[Sequence]):
+        self.runs, self.at, self.k = runs, [0] * len(runs), len(runs)
         self.tree = [-1] * max(self.k, 1)
         for leaf in range(self.k):
             self._play(leaf)
 
     def _key(self, leaf: int):
         i = self.at[leaf]
-        return None if i >= len(self.lists[leaf]) else self.lists[leaf][i][0]
+        return None if i >= len(self.runs[leaf]) else self.runs[leaf][i]
 
     def _beats(self, a: int, b: int) -> bool:
         x, y = self._key(a), self._key(b)
@@ -157,9 +197,9 @@ class LoserTree:
             node //= 2
         self.tree[0] = leaf
 
-    def __iter__(self):
+    def __iter__(self) -> Iterator[tuple[int, int]]:
         while self.k and self._key(leaf := self.tree[0]) is not None:
-            yield self.lists[leaf][self.at[leaf]][1]
+            yield leaf, self.at[leaf]
             self.at[leaf] += 1
             self._play(leaf)
 
@@ -169,18 +209,52 @@ def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
 
-def merged_index(index: DataFrame) -> DataFrame:
-    """All captures by (url_key, ts, record_id): ranges of the key, each merged from its part of every run."""
-    dealt = index.repartitionByRange(max(8, shuffle_parts(index.sparkSession)), "url_key", "ts", "record_id")
+def keys_of(batch: pa.RecordBatch | pa.Table) -> list[tuple]:
+    return list(zip(*(batch[c].to_pylist() for c in KEY), strict=True))
+
+
+def boundaries(index: DataFrame, size: int = RANGE) -> list[tuple]:
+    """Keys that part the captures into ranges of about `size`, from SAMPLE sampled keys for each range."""
+    n = index.count()
+    ranges = -(-n // size)
+    if ranges < 2:
+        return []
+    share = min(1.0, SAMPLE * ranges / n)
+    drawn = sorted(tuple(r) for r in index.where(F.abs(F.xxhash64("record_id", F.lit(5))) < int(share * ((1 << 63) - 1))).select(*KEY).collect())  # about SAMPLE * ranges rows
+    return [drawn[i * len(drawn) // ranges] for i in range(1, ranges)] if drawn else []
+
+
+def segments(index: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """range, run, place and the rows of each run in a range, in order."""
 
     def run(batches):
-        by_run: dict[str, list] = {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by_run.setdefault(row[9], []).append(((*row[:3], row[10]), row))
-        for rows in by_run.values():  # parts of a run may arrive in another order, so this is nearly sorted
-            rows.sort(key=lambda x: x[0])
-        yield from batches_of(iter(LoserTree(list(by_run.values()))), SCHEMA)
+            keys, names = keys_of(batch), batch["run"].to_pylist()
+            rows = batch.select([f.name for f in SCHEMA])
+            of = [bisect_right(cuts, k) for k in keys]
+            starts = [i for i in range(len(keys)) if not i or names[i] != names[i - 1] or of[i] != of[i - 1] or keys[i] < keys[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, SCHEMA) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays(rows.slice(a, b - a).columns, schema=SCHEMA))
+                yield pa.RecordBatch.from_arrays([pa.array([of[a]], pa.int64()), pa.array([names[a]]), pa.array([str(keys[a])]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["range", "run", "first", "rows"])
+
+    return index.mapInArrow(run, "range long, run string, first string, rows binary")
+
+
+def merged_index(index: DataFrame, size: int = RANGE) -> DataFrame:
+    """All captures by (url_key, ts, record_id): the segments of each range, merged."""
+    cuts = boundaries(index, size)
+    dealt = segments(index, cuts).repartitionByRange(len(cuts) + 1, "range").sortWithinPartitions("range", "run", "first")
+
+    def run(batches):
+        for group in whole_groups(batches, 1):
+            of = np.concatenate(([0], np.cumsum(np.diff(group["range"].to_numpy()) != 0)))
+            for r in range(of[-1] + 1):
+                parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x, own in zip(group["rows"], of, strict=True) if own == r]
+                begin = np.cumsum([0, *(p.num_rows for p in parts)])
+                order = np.fromiter((begin[leaf] + at for leaf, at in LoserTree([keys_of(p) for p in parts])), np.int64, begin[-1])
+                yield from pa.concat_tables(parts).take(order).combine_chunks().to_batches()
 
     return dealt.mapInArrow(run, INDEX)
 
@@ -192,4 +266,3 @@ def archive_and_index(pages: DataFrame, least: int = 0) -> DataFrame:
     write(pages, path, least)
     index, _ = written(runs(spark, path), "captures")
     return merged_index(index)
-
