@@ -194,7 +194,39 @@ def bucket_route(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", own.alias("bucket_id"), C.bucket_name(own).alias("bucket"))
 
 
-@query()
+def sql_stirred(steps: list[str], before: str, columns: dict[str, str]) -> str:
+    """Adds SQL steps that stir 64-bit columns (name -> expression over the step before); the name of the last step.
+    Products are taken in 128 bits and cut to 64."""
+    shifted = lambda c: f"xor({c}, {c} >> 33)"
+    product = lambda c, k: f"(({c})::uhugeint * {k}::uhugeint % 18446744073709551616::uhugeint)::ubigint"
+    n = f"s{len(steps)}"
+    keep = f"{before}.* exclude ({', '.join(columns)})" if len(steps) > 1 else f"{before}.*"
+    steps.append(f"{n}_0 as (select {keep}, {', '.join(f'{e} as {c}' for c, e in columns.items())} from {before})")
+    for i, k in enumerate(C.PERTURB[:2]):
+        steps.append(f"{n}_{i + 1} as (select * replace ({', '.join(f'{product(shifted(c), k)} as {c}' for c in columns)}) from {n}_{i})")
+    steps.append(f"{n} as (select * replace ({', '.join(f'xor({shifted(c)}, {C.PERTURB[2]}::ubigint) as {c}' for c in columns)}) from {n}_2)")
+    return n
+
+
+def sql_rotated() -> str:
+    """The rotated keys of two identifiers' outer words."""
+    word = lambda c, i: f"cast('0x' || substr({c}, {1 + 16 * i}, 16) as ubigint)"
+    steps = ["x as (select c_custkey, sha256(c_name) as a, sha256('E:nation:' || c_nationkey) as b from customer)"]
+    last = sql_stirred(steps, "x", {"ah": word("a", 0), "al": word("a", 3), "bh": word("b", 0), "bl": word("b", 3)})
+    wrap = lambda e: f"(({e}) % 18446744073709551616::uhugeint)::ubigint"
+    both = ", ".join(f"{wrap(f'a{w}::uhugeint + {wrap(f'b{w}::uhugeint * {C.KNUTH}::uhugeint')}::uhugeint')} as {w}" for w in "hl")
+    steps.append(f"y as (select c_custkey, {both} from {last})")
+    turned = lambda c, r: c if not r else f"({wrap(f'{c}::uhugeint * {1 << r}::uhugeint')} | ({c} >> {64 - r}))"
+    columns = {}
+    for r in range(3):
+        columns |= {f"h{r}": f"xor({turned('h', r)}, l & {C.EVEN}::ubigint)", f"l{r}": f"xor({turned('l', r)}, h & {C.ODD}::ubigint)"}
+    steps.append("z as (select y.*, " + ", ".join(f"0::ubigint as {c}" for c in columns) + " from y)")
+    last = sql_stirred(steps, "z", columns)
+    hexed = lambda c: f"lpad(lower(to_hex({c})), 16, '0')"
+    return f"with {', '.join(steps)} select c_custkey, " + ", ".join(f"repeat('0', 32) || {hexed(f'h{r}')} || {hexed(f'l{r}')} as {n}" for r, n in enumerate(("spo", "osp", "pos"))) + f" from {last}"
+
+
+@query(sql_rotated())
 def rotated_composite(spark, sf_dir):
     rows = read(spark, sf_dir, "customer").select("c_custkey", C.cid(F.col("c_name")).alias("a"), graph.named("nation", "c_nationkey").alias("b"))
     return edges(rows.select("c_custkey", *(C.rotated_key(r)("a", "b").alias(n) for r, n in enumerate(("spo", "osp", "pos")))))
