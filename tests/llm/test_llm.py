@@ -537,6 +537,7 @@ def brute_classes(texts):
 def test_near_duplicates(spark, docs, texts, monkeypatch, star, block):
     monkeypatch.setattr(minhash, "STAR", star)
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BYTES", 1 << 20 if block > 2 else 1 << 10)
     out = minhash.classes(docs).collect()
     assert len(out) == docs.count()
     wanted = brute_classes(texts)
