@@ -597,6 +597,21 @@ def test_weighted_samples_estimate_similarity():
     assert abs((both[0] == both[1]).mean() - true) < 0.04
 
 
+def test_recall_of_bands_at_the_threshold():
+    """Pairs of a weighted similarity of 0.8 share a bucket."""
+    rng = np.random.default_rng(2)
+    found, pairs = 0, 400
+    for _ in range(pairs):
+        h = rng.integers(1, 1 << 62, 200, dtype=np.uint64)
+        w = np.repeat(rng.choice([1.0, 1.5, 2.0, 3.0], 10), 20)  # in every twenty the same weight, so that parts weigh alike
+        a, b = np.arange(200) % 20 >= 2, np.arange(200) % 20 < 18
+        inter = w[a & b].sum()
+        assert abs(inter / (w[a].sum() + w[b].sum() - inter) - 0.8) < 1e-9
+        both = minhash.band_hashes(minhash.samples(np.array([0, a.sum(), a.sum() + b.sum()]), np.concatenate([h[a], h[b]]), np.concatenate([w[a], w[b]])))
+        found += bool((both[0] == both[1]).any())
+    assert found >= 0.975 * pairs
+
+
 def test_heavy_shingles_weigh_less(spark):
     rng = random.Random(13)
     line = "one very common line of words "
