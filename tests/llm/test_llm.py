@@ -837,6 +837,18 @@ def test_pipeline(spark, tmp_path):
     assert any(c[1] for c in cut) and [name for name, _ in corpus_pipeline.STAGES][0] == "language_id"
 
 
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(53)
+    passage = " ".join(prose(rng, 200).split()[:51])
+    texts = [prose(rng, 100) + " " + passage + " " + prose(rng, 100) for _ in range(3)] + [prose(rng, 200)]
+    assert 200 <= len(passage) < 400
+    stage = dict(corpus_pipeline.STAGES)["suffix_array_dedup"]
+    left = {r.doc_id: r.text for r in stage(spark, spark.createDataFrame(rows_of(texts), DOCS), "").collect()}
+    assert all(passage not in left[i] and len(left[i]) < len(texts[i]) for i in range(3)) and left[3] == texts[3]
+
+
 def test_pipeline_stages_on_odd_tables(spark):
     """Empty tables, nulls in every column, ties, repeated rows, a very long text, and names that clash."""
     import corpus_pipeline
