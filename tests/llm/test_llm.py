@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -727,6 +729,39 @@ def test_passages_in_many_surroundings(spark, monkeypatch):
     assert got == dict(enumerate(brute_removed(made, 120)))
 
 
+def contexts_of(texts, length, gram, blocks_):
+    """Tasks as spans() makes them: (whether it is a pair of blocks, its table)."""
+    by_anchor = {}
+    for k, raw in enumerate(t.encode() for t in texts):
+        found = suffix.anchors(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]), length, gram)
+        for _, first, last, p, a in zip(*(x.tolist() for x in found), strict=True):
+            by_anchor.setdefault(a, {}).setdefault(raw[first : last + length], []).append((k, first, p))
+    out = []
+    for a, kinds in by_anchor.items():
+        rows = [{"a": a, "own": i % blocks_, "n": len(at), "k1": at[0][0], "k2": 0, "lo": at[0][1], "p": at[0][2], "raw": raw} for i, (raw, at) in enumerate(kinds.items())]
+        for b1, b2 in itertools.combinations_with_replacement(range(blocks_), 2):
+            if task := [r | {"b1": b1, "b2": b2} for r in rows if r["own"] in (b1, b2)]:
+                out.append((b1 != b2, pa.Table.from_pylist(task)))
+    return out
+
+
+@pytest.mark.parametrize("blocks_", [1, 3])
+def test_only_what_may_repeat_is_sorted(blocks_):
+    rng = random.Random(53)
+    shared, phrase = prose(rng, 60), prose(rng, 6)
+    alike = [prose(rng, rng.randint(1, 30)) + shared[rng.randint(0, 90) : rng.randint(150, len(shared))] + prose(rng, 20) for _ in range(12)]
+    phrases = [prose(rng, 40) + phrase + prose(rng, 40) for _ in range(40)]  # equal for the anchor's bytes, but never for 120
+
+    def removed(tasks):
+        return {(r["k1"], x) for pair, part in tasks if part.num_rows for batch in suffix.marked(part, pair, 120) for r in batch.to_pylist() for x in range(r["lo"], r["hi"] - 119)}
+
+    every = contexts_of([*alike, *alike[:3], *phrases], 120, 16, blocks_)
+    thin = [(pair, suffix.thinned(part, 120)) for pair, part in every]
+    assert removed(thin) == removed(every) != set()
+    assert sum(part.num_rows for _, part in contexts_of(phrases, 120, 16, blocks_)) > 40
+    assert not any(suffix.thinned(part, 120).num_rows for _, part in contexts_of(phrases, 120, 16, blocks_))
+
+
 def test_parts_of_a_very_long_text(spark, docs):
     rows = suffix.keyed(docs)
     windows = lambda df: sorted((r.k1, r.k2, x, r.a) for r in df.collect() for x in range(r.lo, r.lo + r.size - 119))
